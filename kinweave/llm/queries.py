@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinweave.llm.canonical import map_to_canon
 from kinweave.llm.groups import match_groups
 from kinweave.llm.splits import grouped_splits
 from kinweave.llm.terms import term_frequencies
@@ -26,8 +27,12 @@ def p5_splits(spark: SparkSession, root: str) -> DataFrame:
     return grouped_splits(rows, ["id", "bi_einstaklingur"])
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return map_to_canon(table(spark, root, CENSUS), table(spark, root, "stada_listi"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
