@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.canonical import map_to_canon
 from kinweave.llm.groups import match_groups
+from kinweave.llm.spans import shared_spans
 from kinweave.llm.splits import grouped_splits
 from kinweave.llm.terms import term_frequencies
 from kinweave.runtime import table
@@ -31,8 +32,12 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return map_to_canon(table(spark, root, CENSUS), table(spark, root, "stada_listi"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return shared_spans(table(spark, root, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits, "p7_found": p7_found}
+    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
