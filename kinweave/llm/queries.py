@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.canonical import map_to_canon
 from kinweave.llm.groups import match_groups
+from kinweave.llm.mixing import mix_sources
+from kinweave.llm.packing import pack_texts
 from kinweave.llm.spans import shared_spans
 from kinweave.llm.splits import grouped_splits
 from kinweave.llm.terms import term_frequencies
@@ -32,12 +34,30 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return map_to_canon(table(spark, root, CENSUS), table(spark, root, "stada_listi"))
 
 
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return pack_texts(table(spark, root, "documents"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers are."""
+    each = p8_containers(spark, root).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return each.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.round(F.avg("n") / 1024, 6).alias("mean_fill"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans(table(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits, "p7_found": p7_found}
+    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
