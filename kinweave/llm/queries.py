@@ -11,6 +11,7 @@ from kinweave.llm.packing import pack_texts
 from kinweave.llm.spans import shared_spans
 from kinweave.llm.splits import grouped_splits
 from kinweave.llm.terms import term_frequencies
+from kinweave.llm.variants import name_variants
 from kinweave.runtime import table
 
 CENSUS = "updated_icelandic_census_data"
@@ -25,6 +26,10 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return term_frequencies(table(spark, root, CENSUS), NAME_FIELDS)
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return name_variants(table(spark, root, CENSUS), table(spark, root, "gaelunofn"))
+
+
 def p5_splits(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, CENSUS).select("id", "manntal", F.nullif("bi_einstaklingur", F.lit(0)).alias("bi_einstaklingur"), "skrad_at")
     return grouped_splits(rows, ["id", "bi_einstaklingur"])
@@ -57,7 +62,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: White space as Unicode has it, the four separators that Python also counts, and the comma.
 SEPARATORS = r"[\p{IsWhite_Space}\x1c-\x1f,]+"
@@ -13,7 +13,7 @@ SEPARATORS = r"[\p{IsWhite_Space}\x1c-\x1f,]+"
 _PLAIN = r"^[\x{0}-\x{2ff}]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
