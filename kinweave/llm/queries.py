@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.canonical import map_to_canon
+from kinweave.llm.crosslink import link_tables
 from kinweave.llm.groups import match_groups
 from kinweave.llm.mixing import mix_sources
 from kinweave.llm.packing import pack_texts
@@ -26,6 +27,14 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return term_frequencies(table(spark, root, CENSUS), NAME_FIELDS)
 
 
+def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return link_tables(table(spark, root, CENSUS), table(spark, root, "rule_based_predictions"), table(spark, root, "gaelunofn"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return p3_pairs(spark, root).where("p >= 0.5").select("id_census", "id_second")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return name_variants(table(spark, root, CENSUS), table(spark, root, "gaelunofn"))
 
@@ -62,7 +71,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+    return {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
