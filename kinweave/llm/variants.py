@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from kinweave.llm.blocks import ROWS, compared, key_rows, records
 from kinweave.llm.components import propagate_labels
-from kinweave.llm.names import CallNames, name_alike, phonetic, stem_of_patronymic, tokens
+from kinweave.llm.names import CallNames, tokens
 from kinweave.llm.terms import nfc
 from kinweave.runtime import Scratch, small_side
 
@@ -58,154 +59,58 @@ def call_names(listed: DataFrame, known: frozenset[str] = frozenset(), limit: in
     return CallNames([(r[0], r[1]) for r in got], known)
 
 
-def _keyed(calls: CallNames):
-    """Blocking keys of each record: (kind, key) beside what the comparison needs, in `what`.
+def _judged(rare: int):
+    """Which pairs may be one person's, by how alike the names are and how far the years of birth lie apart."""
 
-    The key texts are built of phonetic codes of the name's tokens, given names first:
-    1 last-name code, first letter and place; 2 first-name code, place and years of birth in eights, overlapping by two;
-    3 both codes, sex and such years. Call names give the codes of all names they may stand for.
-    """
+    def judge(one, two, census_1, census_2, kind, gap, rounded, dense, alike, mixed, equal, curated) -> Iterator[pa.RecordBatch]:
+        few, known = dense <= rare, gap >= 0
+        near = known & (gap <= 2)
+        keep = np.where(
+            equal, few & known & (gap <= 1),
+            np.where(curated, (alike > 0) | mixed,
+            np.where(kind == 3, (alike >= 0.85) & known & (gap <= 1) & few,
+            np.where(near, (alike >= 0.8) | (mixed & few), (alike >= 0.92) & (~known | rounded) & few))),
+        )
+        one, two, equal = one[keep], two[keep], equal[keep]
+        if len(one):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(equal)], names=["id_1", "id_2", "equal"])
+
+    return judge
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, tuple] = {}
-        for b in batches:
-            names, birth, place, sexes = (b.column(c).to_pylist() for c in range(4))
-            row, kind, key = [], [], []
-            for i, (n, y, p, s) in enumerate(zip(names, birth, place, sexes)):
-                c = codes.get(n)
-                if c is None:
-                    t = tokens(n)
-                    if t:
-                        given = [t[0], *sorted(calls.roots(t[0]))]
-                        last = phonetic(stem_of_patronymic(t[-1])[0]) if len(t) > 1 else ""
-                        c = (sorted({phonetic(g) for g in given}), last, t[0][0], sorted({g[0] for g in given}))
-                    else:
-                        c = ([], "", "", [])
-                    if len(codes) > 300_000:
-                        codes.clear()
-                    codes[n] = c
-                firsts, last, _, letters = c
-                bands = sorted({y // 8, (y + 2) // 8}) if y else []
-                found = []
-                if p is not None:
-                    if last:
-                        found += [(1, f"{last}|{x}|{p}") for x in letters]
-                    found += [(2, f"{f}|{p}|{x}") for f in firsts for x in bands]
-                if last:
-                    found += [(3, f"{f}|{last}|{s}|{x}") for f in firsts for x in bands]
-                for k, v in found:
-                    row.append(i)
-                    kind.append(k)
-                    key.append(v)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(key, pa.string()), *(b.column(c).take(take) for c in (0, 1, 3, 4, 5, 6, 7))], names=["kind", "key", "name", "birth", "sex", "id", "census", "person", "same"])
-
-    return run
-
-
-def _accepted(calls: CallNames):
-    """Pairs of names that may be one person's, by how alike they are and how far the years of birth lie apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], tuple[float, bool]] = {}
-        for b in batches:
-            keep = []
-            cols = [b.column(c).to_pylist() for c in range(2, 9)]
-            for m, n, kind, gap, rounded, few, curated in zip(*cols):
-                pair = (m, n) if m < n else (n, m)
-                got = seen.get(pair)
-                if got is None:
-                    if len(seen) > 300_000:
-                        seen.clear()
-                    got = seen[pair] = name_alike(m, n, calls)
-                alike, mixed = got
-                if curated:
-                    keep.append(alike > 0 or mixed)
-                elif kind == 3:
-                    keep.append(alike >= 0.85 and gap is not None and gap <= 1 and few)
-                elif gap is not None and gap <= 2:
-                    keep.append(alike >= 0.8 or mixed and few)
-                else:
-                    keep.append(alike >= 0.92 and (gap is None or rounded) and few)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["id_1", "id_2"])
-
-    return run
-
-
-def name_variants(rows: DataFrame, called: DataFrame, rare: int = 14) -> DataFrame:
+
+def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: distinct pairs of records of one person under two spellings of `nafn`.
 
     rows: id, manntal, nafn, faedingarar, kyn, bi_baer, bi_einstaklingur; called: gaelunafn, fornafn. A spelling is `nafn` in
-    NFC and lower case with single spaces. Records without id or `nafn` have no pair; a missing or zero year of birth, place
-    or sex only leaves a record out of the blocks that need it. Repeated rows give a pair once; other columns are ignored.
-
-    Blocks are made of phonetic codes of the tokens with the place or the years of birth (_keyed). Records of different
-    censuses are compared within a block by an equi-join with the cheap tests in its condition: names by Jaro-Winkler and
-    edits, call names, cut-off forms and order (names.name_alike). Two tokens that are both established as names are two
-    names. Records of different curated persons are never one. Away from one place only names borne by at most `rare`
-    records of the years count, since more can't be told apart. Accepted pairs and records of one rare spelling make
-    components; their members of different censuses and spellings are the result. A component with two records of one
-    census holds more than one person; of it only the pairs compared directly are kept.
+    NFC and lower case with single spaces. Records without id, census or `nafn` have no pair; a missing or zero year of
+    birth, place or sex only leaves a record out of the blocks that need it. Repeated rows give a pair once; other columns
+    are ignored.
+
+    Blocks are made of phonetic codes of the tokens with the place or the years of birth, and compared after one exchange
+    (blocks.py): names by Jaro-Winkler and edits, call names, cut-off forms and order (names.name_alike). Two tokens that
+    are both established as names are two names. Records of different curated persons are never one. Away from one place,
+    and where years of birth are rounded or gone, only names borne by at most `rare` records of the years count, since
+    more can't be told apart. Accepted pairs and records of one rare spelling make components; their members of different
+    censuses and spellings are the result. A component with two records of one census holds more than one person; of it
+    only the pairs compared directly are kept.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "variants")
-    birth = F.when(F.col("faedingarar").between(1000, 2200), F.col("faedingarar").cast("int"))
-    person = F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0))
-    base = rows.select(F.col("nafn").alias("name"), birth.alias("birth"), F.col("bi_baer").cast("long").alias("place"), sex(F.col("kyn")).alias("sex"), F.col("id").cast("long").alias("id"), F.col("manntal").cast("int").alias("census"), person.alias("person"), F.xxhash64(written(F.col("nafn"))).alias("same"), written(F.col("nafn")).alias("_w"))
-    base = base.where("id is not null and census is not null and _w is not null").drop("_w")
+    base = records(rows, sex, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)))
     calls = call_names(called, established(base.select("name")))
-    keyed = base.mapInArrow(_keyed(calls), "kind tinyint, key string, name string, birth int, sex int, id bigint, census int, person bigint, same bigint")
-    # What a comparison needs in one number: sex, census and year of birth; the key as a hash, since the name decides.
-    fit = F.shiftleft(F.col("sex").cast("long"), 32) + F.shiftleft(F.col("census").cast("long"), 16) + F.coalesce("birth", F.lit(0))
-    packed = keyed.select(F.xxhash64("key", "kind").alias("key"), "kind", "id", fit.alias("fit"), F.coalesce("person", F.lit(0)).alias("person"), "same", "name")
-
-    def of(x: str, name: str) -> Column:
-        f = F.col(f"{x}.fit")
-        return {"sex": F.shiftright(f, 32), "census": F.shiftright(f, 16).bitwiseAND(0xFFFF), "birth": f.bitwiseAND(0xFFFF)}[name]
-
-    a, b = packed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).alias("a"), packed.alias("b")
-    gap = F.when((of("a", "birth") > 0) & (of("b", "birth") > 0), F.abs(of("a", "birth") - of("b", "birth")))
-    rounded = ((of("a", "birth") % 5 == 0) | (of("b", "birth") % 5 == 0)) & (gap <= 10)
-    # Both sides name all columns, so that one exchange serves them.
-    test = (F.col("a.key") == F.col("b.key")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.id") < F.col("b.id")) & (of("a", "census") != of("b", "census"))
-    test &= (of("a", "sex") == of("b", "sex")) | (of("a", "sex") == 0) | (of("b", "sex") == 0)
-    test &= (F.col("a.person") == F.col("b.person")) | (F.col("a.person") == 0) | (F.col("b.person") == 0)
-    test &= (F.col("a.same") != F.col("b.same")) | (F.col("a.kind") == 3)
-    test &= gap.isNull() | (gap <= 2) | rounded
-    met = a.join(b, test).select(
-        F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"), F.col("a.name").alias("name_1"), F.col("b.name").alias("name_2"), F.col("a.kind").alias("kind"),
-        gap.alias("gap"), rounded.alias("rounded"), (F.col("a.size") <= rare).alias("few"), ((F.col("a.person") == F.col("b.person")) & (F.col("a.person") > 0)).alias("curated"),
-        (F.col("a.same") == F.col("b.same")).alias("equal"),
-    ).where("not equal or few and gap <= 1")
-    found = met.mapInArrow(_accepted_or_equal(calls), "id_1 bigint, id_2 bigint, equal boolean")
+    blocked = base.mapInArrow(key_rows(calls, 0, True), ROWS).repartition("key").sortWithinPartitions("key", "fit")
+    found = blocked.mapInArrow(compared(calls, _judged(rare), False, rare), "id_1 bigint, id_2 bigint, equal boolean")
     edges = scratch.keep(found.groupBy("id_1", "id_2").agg(F.min("equal").alias("equal")))
     direct = edges.where("not equal").select("id_1", "id_2")
     touched = small_side(direct.select(F.col("id_1").alias("id")).union(direct.select("id_2")).distinct())
     bridges = edges.where("equal")
     bridges = bridges.join(touched.select(F.col("id").alias("id_1")), "id_1", "left_semi").unionByName(bridges.join(touched.select(F.col("id").alias("id_2")), "id_2", "left_semi"))
     joined = propagate_labels(direct.unionByName(bridges.select("id_1", "id_2")), "id_1", "id_2")
-    about = base.select("id", "census", "same").groupBy("id").agg(F.min("census").alias("census"), F.min("same").alias("same"))
-    members = scratch.keep(about.join(joined.withColumnRenamed("node", "id"), "id"))
-    clash = members.groupBy("component", "census").count().where("count > 1").select("component").distinct()
-    sound = members.join(clash, "component", "left_anti")
+    about = base.select("id", "census", F.xxhash64(written(F.col("name"))).alias("same"))
+    members = scratch.keep(about.join(small_side(joined.withColumnRenamed("node", "id")), "id").distinct())
+    clash = members.groupBy("component", "census").agg(F.countDistinct("id").alias("n")).where("n > 1").select("component").distinct()
+    sound = members.join(small_side(clash), "component", "left_anti")
     x, y = sound.alias("x"), sound.alias("y")
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.same") != F.col("y.same")))
     pairs = pairs.select(F.col("x.id").alias("id_1"), F.col("y.id").alias("id_2"))
     return pairs.unionByName(direct).distinct()
-
-
-def _accepted_or_equal(calls: CallNames):
-    test = _accepted(calls)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            equal = b.column(9)
-            same = b.filter(equal)
-            if same.num_rows:
-                yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), pa.array(np.ones(same.num_rows, dtype=bool))], names=["id_1", "id_2", "equal"])
-            for out in test([b.filter(pa.compute.invert(equal))]):
-                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(np.zeros(out.num_rows, dtype=bool))], names=["id_1", "id_2", "equal"])
-
-    import pyarrow.compute  # noqa: F401
-
-    return run
