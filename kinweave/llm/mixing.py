@@ -180,7 +180,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     slot_rows = numbered.select("out_shard", "s", "n", "_at").mapInArrow(taken, "out_shard bigint, source string, k bigint, copy int, block bigint")
     shuffled = F.xxhash64("source", "k", F.lit(seed))
     slot_rows = slot_rows.withColumn("slot", F.row_number().over(Window.partitionBy("out_shard").orderBy(shuffled, "source", "k")) - 1)
-    out = scratch.keep(slot_rows.join(pieces, ["source", "block"]).select("out_shard", "slot", "source", "copy", "doc_id", "tok_start", "tok_end"))
+    # The size of the slots can't be seen from the shards they come from; without the hint they may be broadcast.
+    out = scratch.keep(slot_rows.hint("merge").join(pieces.hint("merge"), ["source", "block"]).select("out_shard", "slot", "source", "copy", "doc_id", "tok_start", "tok_end"))
 
     used = out.groupBy("source").agg(F.sum(F.col("tok_end") - F.col("tok_start")).alias("used_tokens"), (F.max("copy") + 1).alias("most_copies"))
     known = spark.createDataFrame(
