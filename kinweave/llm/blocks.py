@@ -32,49 +32,90 @@ def fit_parts(fit: np.ndarray) -> dict[str, np.ndarray]:
     return {"birth": (fit >> 20).astype(np.int32), "census": ((fit >> 8) & 0xFFF).astype(np.int32), "sex": ((fit >> 4) & 3).astype(np.int8), "kind": ((fit >> 2) & 3).astype(np.int8), "side": (fit & 1).astype(np.int8)}
 
 
-def key_rows(calls: CallNames, side: int, overlap: bool):
-    """Rows of blocks for records (name, birth, place, sex, id, census, person). Kinds of keys, given names first:
+_U = np.uint64
+
+
+def _mixed(seed: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (seed ^ (x.astype(_U) * _U(0x9E3779B97F4A7C15))) * _U(0xFF51AFD7ED558CCD)
+    h ^= h >> _U(32)
+    h *= _U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> _U(29))
+
+
+class _Seeds:
+    """Hashes of each name's codes, for the three kinds of keys; given names first, call names as all they may stand for."""
+
+    def __init__(self, calls: CallNames):
+        import xxhash
+
+        self.digest, self.calls, self.known = xxhash.xxh64_intdigest, calls, {}
+
+    def of(self, name: str) -> tuple[list[int], list[int], list[int]]:
+        got = self.known.get(name)
+        if got is None:
+            t = tokens(name)
+            given = [t[0], *sorted(self.calls.roots(t[0]))] if t else []
+            last = phonetic(stem_of_patronymic(t[-1])[0]) if len(t) > 1 else ""
+            firsts = sorted({phonetic(g) for g in given})
+            got = (
+                [self.digest(f"1{last}|{x}") for x in sorted({g[0] for g in given})] if last else [],
+                [self.digest(f"2{f}") for f in firsts],
+                [self.digest(f"3{f}|{last}") for f in firsts] if last else [],
+            )
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[name] = got
+        return got
+
+
+def key_rows(calls: CallNames, side: int, bands: str):
+    """Rows of blocks for records (name, birth, place, sex, id, census, person, born). Kinds of keys:
 
     1 last-name code, first letter and place; 2 first-name code, place and years of birth in eights; 3 both codes, sex and
-    such years. With `overlap` a record also enters the eights that reach within two years of its own. Call names give
-    the codes of all names they may stand for.
+    such years. bands: `own` for the record's own eight, `next` also for the one that begins within two years, `both` also
+    for the one that ended within two years. Two records within two years of each other meet if both have `next`, or if one
+    has `own` and the other `both`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-        codes: dict[str, tuple] = {}
+        seeds = _Seeds(calls)
         for b in batches:
-            row, kinds, keys = [], [], []
-            for i, (n, y, p, s) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
-                c = codes.get(n)
-                if c is None:
-                    t = tokens(n)
-                    given = [t[0], *sorted(calls.roots(t[0]))] if t else []
-                    last = phonetic(stem_of_patronymic(t[-1])[0]) if len(t) > 1 else ""
-                    c = (sorted({phonetic(g) for g in given}), last, sorted({g[0] for g in given}))
-                    if len(codes) > 200_000:
-                        codes.clear()
-                    codes[n] = c
-                firsts, last, letters = c
-                bands = ({(y - NEAR) // 8, y // 8, (y + NEAR) // 8} if overlap else {y // 8}) if y else ()
-                if p is not None:
-                    if last:
-                        for x in letters:
-                            row.append(i), kinds.append(1), keys.append(digest(f"1{last}|{x}|{p}"))
-                    for f in firsts:
-                        for x in bands:
-                            row.append(i), kinds.append(2), keys.append(digest(f"2{f}|{p}|{x}"))
-                if last:
-                    for f in firsts:
-                        for x in bands:
-                            row.append(i), kinds.append(3), keys.append(digest(f"3{f}|{last}|{s}|{x}"))
-            take = np.array(row, dtype=np.int64)
-            birth, sexes, census = (b.column(c).to_numpy(zero_copy_only=False)[take].astype(np.int64) for c in (7, 3, 5))
-            fit = (birth << 20) | (census << 8) | (sexes << 4) | (np.array(kinds, dtype=np.int64) << 2) | side
-            at = pa.array(take)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(fit), b.column(4).take(at), b.column(6).take(at), b.column(0).take(at)], names=_NAMES)
+            if not b.num_rows:
+                continue
+            names = b.column(0).dictionary_encode()
+            code = names.indices.to_numpy(zero_copy_only=False)
+            lists = [seeds.of(x) for x in names.dictionary.to_pylist()]
+            born, sexes, census = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (7, 3, 5))
+            placed = ~b.column(2).is_null().to_numpy(zero_copy_only=False)
+            place = b.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            eights = [born // 8]
+            if bands != "own":
+                eights.append((born + NEAR) // 8)
+            if bands == "both":
+                eights.append((born - NEAR) // 8)
+            keys, rows, kinds = [], [], []
+            for kind in (1, 2, 3):
+                flat = np.array([h for x in lists for h in x[kind - 1]], dtype=_U)
+                n = np.array([len(x[kind - 1]) for x in lists], dtype=np.int64)
+                row, at = _spread((np.cumsum(n) - n)[code], np.cumsum(n)[code], np.arange(len(code)))
+                seed = flat[at] if len(at) else np.empty(0, dtype=_U)
+                if kind < 3:
+                    seed, row = seed[placed[row]], row[placed[row]]
+                    seed = _mixed(seed, place[row])
+                else:
+                    seed = _mixed(seed, sexes[row])
+                if kind == 1:
+                    keys.append(seed), rows.append(row), kinds.append(np.full(len(row), kind))
+                    continue
+                for e in range(len(eights)):
+                    ok = born[row] > 0
+                    for f in range(e):
+                        ok &= eights[e][row] != eights[f][row]
+                    keys.append(_mixed(seed[ok], eights[e][row[ok]])), rows.append(row[ok]), kinds.append(np.full(ok.sum(), kind))
+            row, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
+            fit = (born[row] << 20) | (census[row] << 8) | (sexes[row] << 4) | (kind << 2) | side
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(4).take(take), b.column(6).take(take), b.column(0).take(take)], names=_NAMES)
 
     return run
 

@@ -13,9 +13,19 @@ _SON, _DAUGHTER = ("sson", "son", "ssen", "sen", "ss", "s"), ("dottir", "dotter"
 _BESIDE = frozenset({"yngri", "eldri", "gamli", "gamla", "yngsti", "elsti", "fra", "baenum", "jr", "sr", "hr", "fru", "jomfru", "madame", "sgr", "md", "mad", "mme", "mr"})
 
 
+#: The letters of most names, as folded() has them.
+_PLAIN = str.maketrans({c: folded(c) for c in "áéíóúýðþæöäøåüèë"})
+
+
 @lru_cache(maxsize=200_000)
 def tokens(name: str) -> tuple[str, ...]:
     """Folded tokens of a name in the order given names first: a comma moves what stands before it to the end."""
+    t = name.lower().translate(_PLAIN)
+    if t.isascii() and t.replace(" ", "").isalpha():
+        out = [x for x in t.split() if x not in _BESIDE]
+        if len(out) > 1 and _full_patronymic(out[0]) and not _full_patronymic(out[-1]):
+            out = out[1:] + out[:1]
+        return tuple(out)
     t = folded(_mended(name).replace(" ", " "))
     t = re.sub(r"\([^)]*\)|\"[^\"]*\"", " ", t)
     if "," in t:
@@ -137,8 +147,12 @@ def misspelt(a: str, b: str, known: frozenset[str] = frozenset()) -> bool:
     if a in known and b in known:
         return False
     a, b = sounded(a), sounded(b)
+    if a == b:
+        return True
     n = max(len(a), len(b))
-    return a == b or n > 3 and jaro_winkler(a, b) >= 0.84 and edits(a, b) <= (2 if n >= 6 else 1)
+    if n < 4 or abs(len(a) - len(b)) > 2 or len(set(a) ^ set(b)) > 4:  # an edit changes two letters of the set at most
+        return False
+    return edits(a, b) <= (2 if n >= 6 else 1) and jaro_winkler(a, b) >= 0.84
 
 
 class CallNames:

@@ -47,7 +47,7 @@ def established(names: DataFrame, one_in: int = 20_000, least: int = 5) -> froze
 
     names: one text column. Counted over all rows, combined per batch before the shuffle.
     """
-    counted = names.toDF("name").where("name is not null").mapInArrow(_token_lists, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = Scratch(names.sparkSession, "tokens").keep(names.toDF("name").where("name is not null").mapInArrow(_token_lists, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     return frozenset(r["token"] for r in counted.where(F.col("n") >= max(least, total / (2 * one_in))).collect())
 
@@ -98,7 +98,7 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     scratch = Scratch(spark, "variants")
     base = records(rows, sex, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)))
     calls = call_names(called, established(base.select("name")))
-    blocked = base.mapInArrow(key_rows(calls, 0, True), ROWS).repartition("key").sortWithinPartitions("key", "fit")
+    blocked = base.mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
     found = blocked.mapInArrow(compared(calls, _judged(rare), False, rare), "id_1 bigint, id_2 bigint, equal boolean")
     edges = scratch.keep(found.groupBy("id_1", "id_2").agg(F.min("equal").alias("equal")))
     direct = edges.where("not equal").select("id_1", "id_2")
@@ -106,8 +106,8 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     bridges = edges.where("equal")
     bridges = bridges.join(touched.select(F.col("id").alias("id_1")), "id_1", "left_semi").unionByName(bridges.join(touched.select(F.col("id").alias("id_2")), "id_2", "left_semi"))
     joined = propagate_labels(direct.unionByName(bridges.select("id_1", "id_2")), "id_1", "id_2")
-    about = base.select("id", "census", F.xxhash64(written(F.col("name"))).alias("same"))
-    members = scratch.keep(about.join(small_side(joined.withColumnRenamed("node", "id")), "id").distinct())
+    members = base.select("id", "census", "name").join(small_side(scratch.keep(joined).withColumnRenamed("node", "id")), "id").distinct()
+    members = scratch.keep(members.select("id", "census", "component", F.xxhash64(written(F.col("name"))).alias("same")).distinct())
     clash = members.groupBy("component", "census").agg(F.countDistinct("id").alias("n")).where("n > 1").select("component").distinct()
     sound = members.join(small_side(clash), "component", "left_anti")
     x, y = sound.alias("x"), sound.alias("y")
