@@ -1,7 +1,7 @@
 """Blocks of records that share a phonetic key, compared where they meet after one exchange.
 
 A record enters several blocks. A row of a block is (key, fit, id, person, name): the key is a hash of its text; fit holds
-year of birth, census, sex, kind of key and side in one number, so that sorting by (key, fit) sorts a block by year of birth.
+year of birth, place (16 bits of it), census, sex, kind of key and side in one number, so that sorting by (key, fit) sorts a block by year of birth.
 Small blocks are compared whole. In larger ones only records born within two years of each other meet, so that a task
 holds no more of a block than such a window of years, and the names are compared once for each two spellings.
 """
@@ -29,7 +29,7 @@ def plain_spelling(name: str) -> str:
 
 
 def fit_parts(fit: np.ndarray) -> dict[str, np.ndarray]:
-    return {"birth": (fit >> 20).astype(np.int32), "census": ((fit >> 8) & 0xFFF).astype(np.int32), "sex": ((fit >> 4) & 3).astype(np.int8), "kind": ((fit >> 2) & 3).astype(np.int8), "side": (fit & 1).astype(np.int8)}
+    return {"birth": (fit >> 40).astype(np.int32), "place": ((fit >> 24) & 0xFFFF).astype(np.int32), "census": ((fit >> 12) & 0xFFF).astype(np.int32), "sex": ((fit >> 8) & 3).astype(np.int8), "kind": ((fit >> 4) & 3).astype(np.int8), "side": (fit & 1).astype(np.int8)}
 
 
 _U = np.uint64
@@ -42,13 +42,22 @@ def _mixed(seed: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
+_seeds: dict[int, dict[str, tuple]] = {}
+
+
 class _Seeds:
-    """Hashes of each name's codes, for the three kinds of keys; given names first, call names as all they may stand for."""
+    """Hashes of each name's codes, for the three kinds of keys; given names first, call names as all they may stand for.
+
+    A worker keeps them for the tasks that follow with the same call names.
+    """
 
     def __init__(self, calls: CallNames):
         import xxhash
 
-        self.digest, self.calls, self.known = xxhash.xxh64_intdigest, calls, {}
+        mark = xxhash.xxh64_intdigest(repr(sorted((k, sorted(v)) for k, v in calls.of.items())))
+        if mark not in _seeds:
+            _seeds.clear()
+        self.digest, self.calls, self.known = xxhash.xxh64_intdigest, calls, _seeds.setdefault(mark, {})
 
     def of(self, name: str) -> tuple[list[int], list[int], list[int]]:
         got = self.known.get(name)
@@ -113,7 +122,8 @@ def key_rows(calls: CallNames, side: int, bands: str):
                         ok &= eights[e][row] != eights[f][row]
                     keys.append(_mixed(seed[ok], eights[e][row[ok]])), rows.append(row[ok]), kinds.append(np.full(ok.sum(), kind))
             row, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
-            fit = (born[row] << 20) | (census[row] << 8) | (sexes[row] << 4) | (kind << 2) | side
+            where = np.where(placed, place % 65_521 + 1, 0)[row]
+            fit = (born[row] << 40) | (where << 24) | (census[row] << 12) | (sexes[row] << 8) | (kind << 4) | side
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(4).take(take), b.column(6).take(take), b.column(0).take(take)], names=_NAMES)
 
@@ -170,6 +180,7 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, row
             lo = i + 1
             base = i
         names = t.column("name").combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
         text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
         spelt: dict[str, int] = {}
         same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
@@ -185,6 +196,8 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, row
                 d = np.maximum(dense[i], dense[j])
             at = end
             ok = (np.maximum(i, j) >= fresh) & (ids[i] != ids[j])
+            # Pairs of one place meet under kind 2 too.
+            ok &= (part["kind"][i] != 3) | (part["place"][i] != part["place"][j]) | (part["place"][i] == 0)
             si, sj = part["sex"][i], part["sex"][j]
             ok &= (si == sj) | (si == 0) | (sj == 0)
             bi, bj = part["birth"][i], part["birth"][j]

@@ -22,8 +22,7 @@ def _edges(edges: DataFrame, a: str, b: str) -> DataFrame:
 def propagate_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Minimum labels spread over edges, with pointer jumping and contraction.
 
-    A round gives every node the least label among itself and its neighbours, lets labels jump twice along their own
-    pointers, and rewrites the edges to the labels reached; edges inside one label vanish. The rounds end when no edge
+    A round gives every node the least label among itself and its neighbours, lets labels jump along their own pointers, and rewrites the edges to the labels reached; edges inside one label vanish. The rounds end when no edge
     is left, that is when no label would change. The per-round pointer tables shrink with the edges and are chained
     backwards at the end, so the total work is about linear in the edges.
     """
@@ -37,11 +36,8 @@ def propagate_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         first = scratch.keep(low)
-        p = first
-        for _ in range(2):
-            jump = first.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            p = p.join(jump, "p").select("a", F.col("q").alias("p"))
-        p = scratch.keep(p)
+        jump = first.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        p = scratch.keep(first.join(jump, "p").select("a", F.col("q").alias("p")))
         pa, pb = p.select("a", F.col("p").alias("pa")), p.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         moved = e.join(pa, "a").join(pb, "b").where("pa <> pb")
         nxt = scratch.keep(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
@@ -50,9 +46,9 @@ def propagate_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
         pointers.append(p)
     else:
         raise RuntimeError("labels did not settle")
-    scratch.drop(e)
     if not pointers:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    scratch.drop(e)
     def chain(later: DataFrame, earlier: DataFrame) -> DataFrame:
         at = later.select(F.col("a").alias("p"), F.col("p").alias("q"))
         return earlier.join(at, "p", "left").select("a", F.coalesce("q", "p").alias("p"))

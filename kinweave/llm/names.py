@@ -221,8 +221,10 @@ def name_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
             best = max(best, got)
         for u, v in ((s, t), (t, s)):
             for k in range(len(u) - 1) if len(u) > 2 else range(1 if len(u) == 2 and len(v) == 1 else 0):
-                got, _ = _in_order(u[:k] + (u[k] + u[k + 1],) + u[k + 2 :], v, calls)
-                best = max(best, got)
+                one = u[k] + u[k + 1]
+                if any(abs(len(one) - len(x)) <= 1 for x in v):
+                    got, _ = _in_order(u[:k] + (one,) + u[k + 2 :], v, calls)
+                    best = max(best, got)
     return best, swapped and best == 0.0
 
 
