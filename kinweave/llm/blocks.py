@@ -80,8 +80,8 @@ class _Seeds:
 def key_rows(calls: CallNames, side: int, bands: str):
     """Rows of blocks for records (name, birth, place, sex, id, census, person, born). Kinds of keys:
 
-    1 last-name code, first letter and place; 2 first-name code, place and years of birth in eights; 3 both codes, sex and
-    such years. bands: `own` for the record's own eight, `next` also for the one that begins within two years, `both` also
+    1 last-name code, first letter, place and sex; 2 first-name code, place, sex and years of birth in eights; 3 both codes,
+    sex and such years. bands: `own` for the record's own eight, `next` also for the one that begins within two years, `both` also
     for the one that ended within two years. Two records within two years of each other meet if both have `next`, or if one
     has `own` and the other `both`.
     """
@@ -111,8 +111,11 @@ def key_rows(calls: CallNames, side: int, bands: str):
                 if kind < 3:
                     seed, row = seed[placed[row]], row[placed[row]]
                     seed = _mixed(seed, place[row])
-                else:
-                    seed = _mixed(seed, sexes[row])
+                # A record of unknown sex enters the blocks of both.
+                both = np.flatnonzero(sexes[row] == 0)
+                of = np.concatenate([np.maximum(sexes[row], 1), np.full(len(both), 2)])
+                seed, row = np.concatenate([seed, seed[both]]), np.concatenate([row, row[both]])
+                seed = _mixed(seed, of)
                 if kind == 1:
                     keys.append(seed), rows.append(row), kinds.append(np.full(len(row), kind))
                     continue
@@ -145,9 +148,19 @@ def _spread(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> tuple[np.ndarray,
     return np.repeat(i, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, rows: int = 30_000, most: int = 1_500_000):
+def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, crowd: dict[int, int] | None = None, rows: int = 30_000, most: int = 1_500_000):
     """Runs over rows sorted by (key, fit): enumerates the pairs of each block and hands them to `judge` with the likeness
-    of their names. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right)."""
+    of their names. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right).
+
+    In large one-sided blocks rows of one spelling and year are one cell: cells are compared, and only the rows of alike
+    ones of different spelling are paired. In two-sided ones a right row with more than `crowd` (by kind) left rows about its
+    year is passed over; that is the number from which `judge` would refuse all of them.
+    """
+
+    def alikes(text: list[str], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        once, back = np.unique(x.astype(np.int64) * len(text) + y, return_inverse=True)
+        got = [name_alike(text[v // len(text)], text[v % len(text)], calls) for v in once.tolist()]
+        return np.array([g[0] for g in got])[back], np.array([g[1] for g in got])[back]
 
     def pairs(t: pa.Table, fresh: int) -> Iterator[pa.RecordBatch]:
         """Pairs of which at least one row comes at `fresh` or later."""
@@ -160,41 +173,32 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, row
         size = np.diff(np.append(start, n))
         place = block.astype(np.int64) * 8192 + part["birth"] + 4  # births of 0 stay apart from all years
         whole = (size <= small)[block]
+        names = t.column("name").combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
+        spelt: dict[str, int] = {}
+        same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
         if two_sided:
             left, right = np.flatnonzero(part["side"] == 0), np.flatnonzero(part["side"] == 1)
             pl, pr = place[left], place[right]
             lo, hi = np.searchsorted(pl, pr - NEAR, "left"), np.searchsorted(pl, pr + NEAR, "right")
-            dense = (hi - lo).astype(np.int32)
             known = part["birth"][right] > 0
             all_lo, all_hi = np.searchsorted(block[left], block[right], "left"), np.searchsorted(block[left], block[right], "right")
-            dense = np.where(known, dense, all_hi - all_lo)
+            dense = np.where(known, hi - lo, all_hi - all_lo).astype(np.int32)
+            limit = np.array([(crowd or {}).get(k, 1 << 30) for k in range(4)])[part["kind"][right]]
             w = whole[right]
-            lo, hi = np.where(w, all_lo, np.where(known, lo, 0)), np.where(w, all_hi, np.where(known, hi, 0))
+            lo, hi = np.where(w, all_lo, np.where(known, lo, 0)), np.where(w, all_hi, np.where(known & (dense <= limit), hi, 0))
             base = right
         else:
-            lo, hi = np.searchsorted(place, place - NEAR, "left"), np.searchsorted(place, place + NEAR, "right")
-            known = part["birth"] > 0
-            dense = np.where(known, hi - lo, size[block]).astype(np.int32)
-            i = np.arange(n)
-            hi = np.where(whole, (start + size)[block], np.where(known, hi, 0))
-            lo = i + 1
-            base = i
-        names = t.column("name").combine_chunks().dictionary_encode()
-        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-        text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
-        spelt: dict[str, int] = {}
-        same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
+            dense = np.where(part["birth"] > 0, np.searchsorted(place, place + NEAR, "right") - np.searchsorted(place, place - NEAR, "left"), size[block]).astype(np.int32)
+            # Blocks of kind 3 span ten years; one nowhere dense is compared whole too, for its records of one spelling.
+            whole |= ((np.maximum.reduceat(dense, start) <= small) & (part["kind"][start] == 3))[block]
+            lo = np.arange(n) + 1
+            hi = np.where(whole, (start + size)[block], 0)
+            base = np.arange(n)
         ids, person = t.column("id").to_numpy(), t.column("person").to_numpy()
-        upto = np.cumsum(np.maximum(hi - lo, 0))
-        at = 0
-        while at < len(base):
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
-            i, j = _spread(lo[at:end], hi[at:end], np.arange(at, end))
-            if two_sided:
-                d, i, j = dense[i], left[j], base[i]
-            else:
-                d = np.maximum(dense[i], dense[j])
-            at = end
+
+        def judged(i: np.ndarray, j: np.ndarray, d: np.ndarray, alike=None, mixed=None) -> Iterator[pa.RecordBatch]:
             ok = (np.maximum(i, j) >= fresh) & (ids[i] != ids[j])
             # Pairs of one place meet under kind 2 too.
             ok &= (part["kind"][i] != 3) | (part["place"][i] != part["place"][j]) | (part["place"][i] == 0)
@@ -209,14 +213,46 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, row
                 ok &= (part["census"][i] != part["census"][j]) & ((same[i] != same[j]) | ((part["kind"][i] == 3) & (gap >= 0) & (gap <= 1)))
             i, j, d, gap, rounded = i[ok], j[ok], d[ok], gap[ok], rounded[ok]
             if not len(i):
-                continue
-            both = code[i].astype(np.int64) * len(text) + code[j]
-            once, back = np.unique(both, return_inverse=True)
-            got = [name_alike(text[x // len(text)], text[x % len(text)], calls) for x in once.tolist()]
-            alike = np.array([g[0] for g in got])[back]
-            mixed = np.array([g[1] for g in got])[back]
+                return
+            alike, mixed = alikes(text, code[i], code[j]) if alike is None else (alike[ok], mixed[ok])
             yield from judge(ids[i], ids[j], part["census"][i], part["census"][j], part["kind"][i], gap, rounded, d, alike, mixed, same[i] == same[j], (person[i] == person[j]) & (person[i] > 0))
 
+        def sliced(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Pairs (k, l) with lo[k] <= l < hi[k], some at a time."""
+            upto, at = np.cumsum(np.maximum(hi - lo, 0)), 0
+            while at < len(lo):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+                yield _spread(lo[at:end], hi[at:end], np.arange(at, end))
+                at = end
+
+        for k, other in sliced(lo, hi):
+            if two_sided:
+                yield from judged(left[other], base[k], dense[k])
+            else:
+                yield from judged(k, other, np.maximum(dense[k], dense[other]))
+        if two_sided:
+            return
+        big = np.flatnonzero(~whole & (part["birth"] > 0))
+        if not len(big):
+            return
+        cell, at, back, count = np.unique(place[big] * len(spelt) + same[big], return_index=True, return_inverse=True, return_counts=True)
+        where, spelling, name = cell // len(spelt), cell % len(spelt), code[big][at]
+        members = big[np.argsort(back, kind="stable")]
+        first = np.cumsum(count) - count
+        for k, other in sliced(np.arange(len(cell)) + 1, np.searchsorted(where, where + NEAR, "right")):
+            differ = spelling[k] != spelling[other]
+            k, other = k[differ], other[differ]
+            if not len(k):
+                continue
+            alike, mixed = alikes(text, name[k], name[other])
+            on = (alike > 0) | mixed
+            k, other, alike, mixed = k[on], other[on], alike[on], mixed[on]
+            # Rows of each pair of cells: every left row with the range of right rows.
+            pair, row = _spread(first[k], first[k] + count[k], np.arange(len(k)))
+            for q, r in sliced(first[other[pair]], first[other[pair]] + count[other[pair]]):
+                i, j = members[row[q]], members[r]
+                yield from judged(i, j, np.maximum(dense[i], dense[j]), alike[pair[q]], mixed[pair[q]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         fresh = 0

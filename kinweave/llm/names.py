@@ -212,6 +212,10 @@ def name_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
     s, t = tokens(a), tokens(b)
     if not s or not t:
         return 0.0, False
+    if s == t:
+        return 1.0, False
+    if len(s) == len(t) == 2 and s[1] == t[1] and s[0] in calls.known and t[0] in calls.known and not calls.alike(s[0], t[0]) and t[1] in calls.known:
+        return 0.0, False  # most pairs that a block of one last name has
     if "".join(s) == "".join(t) or sorted(s) == sorted(t):
         return 1.0, False
     best, swapped = _in_order(s, t, calls)

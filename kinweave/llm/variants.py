@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.llm.blocks import ROWS, compared, key_rows, records
+from kinweave.llm.blocks import ROWS, compared, key_rows, plain_spelling, records
 from kinweave.llm.components import propagate_labels
 from kinweave.llm.names import CallNames, tokens
 from kinweave.llm.terms import nfc
@@ -34,18 +34,27 @@ def sex(value: Column) -> Column:
 
 
 def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, int] = {}
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+
     for b in batches:
-        counts: dict[str, int] = {}
-        for name in b.column(0).to_pylist():
-            for t in tokens(name):
-                counts[t.rstrip(".:")] = counts.get(t.rstrip(".:"), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+        for v in b.column(0).value_counts().to_pylist():
+            n = v["counts"]
+            for t in tokens(v["values"]):
+                t = t.rstrip(".:")
+                counts[t] = counts.get(t, 0) + n
+        if len(counts) > 200_000:
+            yield told()
+            counts = {}
+    yield told()
 
 
 def established(names: DataFrame, one_in: int = 20_000, least: int = 5) -> frozenset[str]:
     """Folded tokens that stand in one of `one_in` names at least: at most `one_in` times the tokens of a name of them.
 
-    names: one text column. Counted over all rows, combined per batch before the shuffle.
+    names: one text column. Counted over all rows, combined per task before the shuffle.
     """
     counted = Scratch(names.sparkSession, "tokens").keep(names.toDF("name").where("name is not null").mapInArrow(_token_lists, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -78,6 +87,15 @@ def _judged(rare: int):
     return judge
 
 
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of the spelling in place of the name."""
+    import xxhash
+
+    for b in batches:
+        same = np.array([xxhash.xxh64_intdigest(plain_spelling(x)) for x in b.column(4).to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(same.view(np.int64))], names=["id", "census", "person", "component", "same"])
+
+
 def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: distinct pairs of records of one person under two spellings of `nafn`.
 
@@ -91,8 +109,8 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     are both established as names are two names. Records of different curated persons are never one. Away from one place,
     and where years of birth are rounded or gone, only names borne by at most `rare` records of the years count, since
     more can't be told apart. Accepted pairs and records of one rare spelling make components; their members of different
-    censuses and spellings are the result. A component with two records of one census holds more than one person; of it
-    only the pairs compared directly are kept.
+    censuses and spellings are the result. A component with two records of one census, or with two curated persons, holds
+    more than one person; of it only the pairs compared directly are kept.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "variants")
@@ -106,11 +124,13 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     bridges = edges.where("equal")
     bridges = bridges.join(touched.select(F.col("id").alias("id_1")), "id_1", "left_semi").unionByName(bridges.join(touched.select(F.col("id").alias("id_2")), "id_2", "left_semi"))
     joined = propagate_labels(direct.unionByName(bridges.select("id_1", "id_2")), "id_1", "id_2")
-    members = base.select("id", "census", "name").join(small_side(scratch.keep(joined).withColumnRenamed("node", "id")), "id").distinct()
-    members = scratch.keep(members.select("id", "census", "component", F.xxhash64(written(F.col("name"))).alias("same")).distinct())
-    clash = members.groupBy("component", "census").agg(F.countDistinct("id").alias("n")).where("n > 1").select("component").distinct()
+    members = base.select("id", "census", "person", "name").join(small_side(scratch.keep(joined).withColumnRenamed("node", "id")), "id").select("id", "census", "person", "component", "name")
+    members = scratch.keep(members.mapInArrow(_spelt, "id bigint, census int, person bigint, component bigint, same bigint").distinct())
+    clash = members.groupBy("component", "census").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("component")
+    people = members.where("person <> 0").groupBy("component").agg(F.min("person").alias("x"), F.max("person").alias("y")).where("x <> y").select("component")
+    clash = clash.union(people).distinct()
     sound = members.join(small_side(clash), "component", "left_anti")
     x, y = sound.alias("x"), sound.alias("y")
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.same") != F.col("y.same")))
-    pairs = pairs.select(F.col("x.id").alias("id_1"), F.col("y.id").alias("id_2"))
+    pairs = pairs.where("x.census <> y.census").select(F.col("x.id").alias("id_1"), F.col("y.id").alias("id_2"))
     return pairs.unionByName(direct).distinct()
