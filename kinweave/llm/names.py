@@ -161,9 +161,22 @@ class CallNames:
     def __init__(self, pairs: list[tuple[str, str]], known: frozenset[str] = frozenset()):
         self.of: dict[str, set[str]] = {}
         self.known = known
+        self.seen: dict[str, tuple[tuple[str, ...], bool]] = {}
         for call, full in pairs:
             self.of.setdefault(folded(call), set()).add(folded(full))
 
+    def read(self, name: str) -> tuple[tuple[str, ...], bool]:
+        """Tokens of a name, and whether it is settled: every token an established name, the first of five letters at least, the last a
+        patronymic."""
+        got = self.seen.get(name)
+        if got is None:
+            t = tokens(name)
+            got = (t, len(t) > 1 and len(t[0]) > 4 and all(x in self.known for x in t) and bool(stem_of_patronymic(t[-1])[1]) and not stem_of_patronymic(t[0])[1])
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[name] = got
+        return got
+
     def roots(self, token: str) -> set[str]:
         return self.of.get(token.rstrip(".:"), set())
 
@@ -209,17 +222,17 @@ def name_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
     Tokens are compared in order of given names and last name, and, where no order shows, the other way round too. One
     token split in two is joined again. A name of given names only is compared by the first of them.
     """
-    s, t = tokens(a), tokens(b)
+    (s, settled_a), (t, settled_b) = calls.read(a), calls.read(b)
     if not s or not t:
         return 0.0, False
     if s == t:
         return 1.0, False
-    if len(s) == len(t) == 2 and s[1] == t[1] and s[0] in calls.known and t[0] in calls.known and not calls.alike(s[0], t[0]) and t[1] in calls.known:
-        return 0.0, False  # most pairs that a block of one last name has
+    if settled_a and settled_b and s[0] != t[0] and not calls.alike(s[0], t[0]):
+        return 0.0, False  # two established given names in their place
     if "".join(s) == "".join(t) or sorted(s) == sorted(t):
         return 1.0, False
     best, swapped = _in_order(s, t, calls)
-    if best == 0.0 and len(s) > 1 and len(t) > 1:
+    if best == 0.0 and not (settled_a and settled_b) and len(s) > 1 and len(t) > 1:
         for u, v in ((s[1:] + s[:1], t), (s, t[1:] + t[:1])):
             got, _ = _in_order(u, v, calls)
             best = max(best, got)

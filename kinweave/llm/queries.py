@@ -81,6 +81,14 @@ WITH v AS (SELECT id, unnest([{{'f': 'fornafn', 'x': fornafn}}, {{'f': 'eftirnaf
 t AS (SELECT id, s.f AS field, unnest(regexp_split_to_array(lower(nfc_normalize(s.x)), '[\\s,\\x{{a0}}]+')) AS term FROM v WHERE s.x IS NOT NULL AND s.x NOT IN ('', 'NaN')),
 c AS (SELECT field, term, count(*) AS n_occur, count(DISTINCT id) AS n_records FROM t WHERE term <> '' GROUP BY ALL)
 SELECT field, term, n_occur, n_records, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records * 100 > (SELECT count(DISTINCT id) FROM {CENSUS}) THEN 'common' ELSE 'usable' END AS mark FROM c""",
+        "p10_found": """
+WITH w AS (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS p FROM documents WHERE length(text) >= 200 AND doc_id IS NOT NULL),
+x AS (SELECT doc_id, p, substr(text, p + 1, 200) AS s FROM w),
+sh AS (SELECT s FROM x GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT DISTINCT doc_id, p FROM x SEMI JOIN sh USING (s)),
+i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS n FROM h),
+g AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS span_start, CAST(max(p) + 200 AS INTEGER) AS span_end FROM g GROUP BY doc_id, k""",
         "p1_found": """
 WITH RECURSIVE r AS (SELECT DISTINCT id, run_no, CAST(row_pos AS BIGINT) AS row_pos, ensemble_classification AS x FROM classified_results_with_ensemble),
 l AS (SELECT id, run_no, CAST(unnest(regexp_extract_all(regexp_replace(x, '\\.0*', '', 'g'), '[0-9]+')) AS BIGINT) AS pos FROM r),
