@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Binarizer, StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -100,3 +100,12 @@ def nearest_vote(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     top = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
     n = top.groupBy("id", "label").agg(F.count("*").alias("n"))
     return n.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("l"))).alias("b")).select("id", (-F.col("b.l")).alias("predicted"))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline, its encoders and scalers included."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

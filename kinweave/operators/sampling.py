@@ -43,6 +43,27 @@ def all_pairs(df: DataFrame, key: str, within: Sequence[str] = ()) -> DataFrame:
     return a.join(b, list(within)).where("id_1 < id_2") if within else a.join(b, F.col("id_1") < F.col("id_2"))
 
 
+def ordered_pairs(df: DataFrame, key: str, within: Sequence[str]) -> DataFrame:
+    """Pairs of different rows, both ways."""
+    p = all_pairs(df, key, within)
+    return p.unionByName(p.select(*[c for c in p.columns if c not in ("id_1", "id_2")], F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2")))
+
+
+def random_pairs(positioned: DataFrame, key: str, n: int, seed: int = 42, pos: str = "row_pos") -> DataFrame:
+    """n draws of two different positions, looked up by two joins; a table of fewer than two rows gives none."""
+    rows = positioned.count()
+    spark = positioned.sparkSession
+    if rows < 2:
+        return positioned.limit(0).select(F.lit(0).cast("long").alias("draw"), F.col(key).alias("id_1"), F.col(key).alias("id_2"))
+    a = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(rows))
+    b = F.pmod(a + 1 + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(rows - 1)), F.lit(rows))
+    draws = spark.range(n).select(F.col("id").alias("draw"), a.alias("_a"), b.alias("_b"))
+    p = positioned.select(F.col(key).alias("_k"), F.col(pos).alias("_p"))
+    for c, k in (("_a", "id_1"), ("_b", "id_2")):
+        draws = draws.join(p.withColumnsRenamed({"_k": k, "_p": c}), c)
+    return draws.select("draw", "id_1", "id_2")
+
+
 def neighbour_pairs(positioned: DataFrame, key: str, scope: int, pos: str = "row_pos") -> DataFrame:
     """Each row with itself and the next scope - 1 rows by position."""
     a = positioned.select(F.col(key).alias("id_1"), F.col(pos).alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(scope - 1))).alias("step"))

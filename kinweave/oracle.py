@@ -71,9 +71,24 @@ r AS (SELECT p_partkey, (f1 * w1 + f2 * w2) / (w1 + w2) AS f, least(greatest((w1
 SELECT p_partkey, round(f, 6) AS f, round(c, 6) AS c, round(c * (f - 0.5) + 0.5, 6) AS e FROM r"""
 
 
+_FIELD = '"(?:[^"]|"")*"|[^",]*'
+_WHOLE = " OR ".join(f"(v[{k}] IS NOT NULL AND NOT regexp_full_match(v[{k}], '[0-9]+(\\.0)?'))" for k in (1, 2, 12, 13, 14, 15, 16))
+_REJECTS = f"""WITH l AS (SELECT line_no, CASE WHEN ends_with(c0, chr(13)) THEN left(c0, -1) ELSE coalesce(c0, '') END AS x FROM cleaned_einstaklingar),
+s AS (SELECT *, regexp_full_match(x, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') AS sound FROM l),
+f AS (SELECT *, regexp_extract_all(CASE WHEN sound THEN x || ',' ELSE '' END, '(?s)(?:{_FIELD}),') AS parts FROM s),
+t AS (SELECT line_no, sound, len(parts) AS n, list_transform(parts, lambda p: trim(CASE WHEN p[1] = '"' THEN replace(p[2:length(p) - 2], '""', '"') ELSE p[1:length(p) - 1] END, ' ')) AS raw FROM f),
+c AS (SELECT line_no, sound, n, list_transform(raw, lambda p: CASE WHEN p IN ('', 'NaN') THEN NULL ELSE p END) AS v FROM t),
+r AS (SELECT line_no, CASE WHEN NOT sound THEN 'bad_quoting' WHEN n < 18 THEN 'too_few_columns' WHEN n > 18 THEN 'too_many_columns' WHEN v[1] IS NULL OR v[2] IS NULL OR {_WHOLE}
+ OR coalesce(TRY_CAST(v[2] AS DOUBLE) NOT IN (1835, 1840, 1845, 1850, 1855, 1860, 1870, 1880, 1890, 1901, 1910), true)
+ OR (v[8] IS NOT NULL AND (NOT regexp_full_match(v[8], '[0-9]+(\\.[0-9]+)?') OR coalesce(TRY_CAST(v[8] AS DOUBLE) NOT BETWEEN 1600 AND 1920, true)))
+ OR (v[9] IS NOT NULL AND v[9] NOT IN ('Karl', 'Kona')) OR (v[11] IS NOT NULL AND v[11] NOT IN ('Ó', 'G', 'E', 'S', 'L')) THEN 'bad_value' END AS reason FROM c)
+SELECT line_no, reason FROM r WHERE reason IS NOT NULL"""
+
+
 def sql() -> dict[str, str]:
     judged, persons = _JUDGED, _PERSONS
     return {
+        "p6_found": _REJECTS,
         "link_min_seed": _edges() + "SELECT match_id, id_individual, round(score, 6) AS score FROM one",
         "link_one_seed": _edges() + "SELECT match_id, manntal, round(score, 6) AS score, name = 0 AS same_name FROM e WHERE seed_id = 7",
         "uniqueness_score": f"WITH {REC_PARTS_SQL}, {_uniqueness()} SELECT id, round(u, 6) AS uniqueness_score FROM uu",

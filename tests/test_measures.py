@@ -63,6 +63,9 @@ def test_sampling(spark, rows):
     pos3 = spark.createDataFrame([(10, 0), (11, 1), (12, 2)], "id long, row_pos long")
     assert rows(sampling.neighbour_pairs(pos3, "id", 2)) == [(10, 10, 0), (10, 11, 1), (11, 11, 0), (11, 12, 1), (12, 12, 0)]
     assert sampling.all_pairs(pos3, "id").count() == 3
+    assert sampling.ordered_pairs(pos3.withColumn("g", F.lit(1)), "id", ["g"]).count() == 6
+    drawn = sampling.random_pairs(pos3, "id", 50)
+    assert drawn.count() == 50 and drawn.where("id_1 = id_2").count() == 0 and sampling.random_pairs(pos3.limit(1), "id", 5).count() == 0
 
 
 def test_pool():
@@ -112,7 +115,7 @@ def test_vectors_and_encoders(spark, rows):
     assert rows(spark.createDataFrame([("Jón2 J. ",)], "n string").select(cmp.words(cmp.clean_name(F.col("n"))))) == [(["Jón", "J"],)]
 
 
-def test_components_and_models(spark):
+def test_components_and_models(spark, tmp_path):
     r = random.Random(0)
     data = [(i, i % 2, [(i % 2) * 2.0 + r.random(), r.random() * 0.1, r.random() * 0.01]) for i in range(120)]
     df = spark.createDataFrame(data, "id long, label int, features array<double>")
@@ -127,4 +130,7 @@ def test_components_and_models(spark):
     assert len(known) >= 14
     pick = {k: known[k] for k in ("logistic_regression", "decision_tree")}
     assert [x["accuracy"] for x in models.evaluate(d, d, pick).collect()] == [1.0, 1.0]
+    fitted = known["logistic_regression"].fit(d)
+    models.save_model(fitted, str(tmp_path / "m"))
+    assert models.load_model(str(tmp_path / "m")).transform(d).where("label <> prediction").count() == 0
     assert models.vote(d, d, pick).where("label <> predicted").count() == 0
