@@ -40,9 +40,9 @@ def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
     for b in batches:
-        for v in b.column(0).value_counts().to_pylist():
-            n = v["counts"]
-            for t in tokens(v["values"]):
+        found = b.column(0).value_counts()
+        for name, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+            for t in tokens(name):
                 t = t.rstrip(".:")
                 counts[t] = counts.get(t, 0) + n
         if len(counts) > 200_000:
