@@ -148,9 +148,9 @@ def _spread(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> tuple[np.ndarray,
     return np.repeat(i, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, crowd: dict[int, int] | None = None, rows: int = 30_000, most: int = 1_500_000):
+def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, crowd: dict[int, int] | None = None, rows: int = 100_000, most: int = 1_500_000):
     """Runs over rows sorted by (key, fit): enumerates the pairs of each block and hands them to `judge` with the likeness
-    of their names. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right).
+    of their names, and a function that gives persons and hashes of the spellings of chosen pairs. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right).
 
     In large one-sided blocks rows of one spelling and year are one cell: cells are compared, and only the rows of alike
     ones of different spelling are paired. In two-sided ones a right row with more than `crowd` (by kind) left rows about its
@@ -215,7 +215,19 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, cro
             if not len(i):
                 return
             alike, mixed = alikes(text, code[i], code[j]) if alike is None else (alike[ok], mixed[ok])
-            yield from judge(ids[i], ids[j], part["census"][i], part["census"][j], part["kind"][i], gap, rounded, d, alike, mixed, same[i] == same[j], (person[i] == person[j]) & (person[i] > 0))
+            yield from judge(
+                ids[i], ids[j], part["census"][i], part["census"][j], part["kind"][i], gap, rounded, d, alike, mixed, same[i] == same[j], (person[i] == person[j]) & (person[i] > 0),
+                lambda on: (person[i[on]], person[j[on]], spelling_hash()[same[i[on]]], spelling_hash()[same[j[on]]]),
+            )
+
+        def spelling_hash() -> np.ndarray:
+            if not hashes:
+                from xxhash import xxh64_intdigest
+
+                hashes.append(np.array([xxh64_intdigest(x) for x in spelt], dtype=_U).view(np.int64))
+            return hashes[0]
+
+        hashes: list[np.ndarray] = []
 
         def sliced(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Pairs (k, l) with lo[k] <= l < hi[k], some at a time."""

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.llm.blocks import ROWS, compared, key_rows, plain_spelling, records
+from kinweave.llm.blocks import ROWS, compared, key_rows, records
 from kinweave.llm.components import propagate_labels
 from kinweave.llm.names import CallNames, tokens
 from kinweave.llm.terms import nfc
@@ -68,10 +68,13 @@ def call_names(listed: DataFrame, known: frozenset[str] = frozenset(), limit: in
     return CallNames([(r[0], r[1]) for r in got], known)
 
 
+_EDGE = [f"{c}_{k}" for k in (1, 2) for c in ("id", "census", "person", "same")] + ["equal"]
+
+
 def _judged(rare: int):
     """Which pairs may be one person's, by how alike the names are and how far the years of birth lie apart."""
 
-    def judge(one, two, census_1, census_2, kind, gap, rounded, dense, alike, mixed, equal, curated) -> Iterator[pa.RecordBatch]:
+    def judge(one, two, census_1, census_2, kind, gap, rounded, dense, alike, mixed, equal, curated, about) -> Iterator[pa.RecordBatch]:
         few, known = dense <= rare, gap >= 0
         near = known & (gap <= 2)
         keep = np.where(
@@ -80,22 +83,18 @@ def _judged(rare: int):
             np.where(kind == 3, (alike >= 0.85) & known & (gap <= 1) & few,
             np.where(near, (alike >= 0.8) | (mixed & few), (alike >= 0.92) & (~known | rounded) & few))),
         )
-        one, two, equal = one[keep], two[keep], equal[keep]
-        if len(one):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(equal)], names=["id_1", "id_2", "equal"])
+        if not keep.any():
+            return
+        person_1, person_2, same_1, same_2 = about(keep)
+        sides = [(one[keep], census_1[keep], person_1, same_1), (two[keep], census_2[keep], person_2, same_2)]
+        turn = sides[0][0] > sides[1][0]
+        left = [np.where(turn, y, x) for x, y in zip(*sides)]
+        right = [np.where(turn, x, y) for x, y in zip(*sides)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*left, *right, equal[keep])], names=_EDGE)
 
     return judge
 
 
-def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of the spelling in place of the name."""
-    import xxhash
-
-    for b in batches:
-        same = np.array([xxhash.xxh64_intdigest(plain_spelling(x)) for x in b.column(4).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(same.view(np.int64))], names=["id", "census", "person", "component", "same"])
-
-
 def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: distinct pairs of records of one person under two spellings of `nafn`.
 
@@ -117,15 +116,18 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     base = records(rows, sex, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)))
     calls = call_names(called, established(base.select("name")))
     blocked = base.mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
-    found = blocked.mapInArrow(compared(calls, _judged(rare), False, rare), "id_1 bigint, id_2 bigint, equal boolean")
-    edges = scratch.keep(found.groupBy("id_1", "id_2").agg(F.min("equal").alias("equal")))
-    direct = edges.where("not equal").select("id_1", "id_2")
+    side = "id_{0} bigint, census_{0} int, person_{0} bigint, same_{0} bigint"
+    found = blocked.mapInArrow(compared(calls, _judged(rare), False, rare), f"{side.format(1)}, {side.format(2)}, equal boolean")
+    edges = scratch.keep(found.groupBy("id_1", "id_2").agg(*[F.min(c).alias(c) for c in _EDGE if not c.startswith("id")]))
+    direct = edges.where("not equal")
     touched = small_side(direct.select(F.col("id_1").alias("id")).union(direct.select("id_2")).distinct())
     bridges = edges.where("equal")
     bridges = bridges.join(touched.select(F.col("id").alias("id_1")), "id_1", "left_semi").unionByName(bridges.join(touched.select(F.col("id").alias("id_2")), "id_2", "left_semi"))
-    joined = propagate_labels(direct.unionByName(bridges.select("id_1", "id_2")), "id_1", "id_2")
-    members = base.select("id", "census", "person", "name").join(small_side(scratch.keep(joined).withColumnRenamed("node", "id")), "id").select("id", "census", "person", "component", "name")
-    members = scratch.keep(members.mapInArrow(_spelt, "id bigint, census int, person bigint, component bigint, same bigint").distinct())
+    links = scratch.keep(direct.unionByName(bridges.select(*direct.columns)))
+    joined = propagate_labels(links, "id_1", "id_2")
+    ends = [links.select(*[F.col(f"{c}_{k}").alias(c) for c in ("id", "census", "person", "same")]) for k in (1, 2)]
+    members = scratch.keep(ends[0].unionByName(ends[1]).distinct().join(joined.withColumnRenamed("node", "id"), "id"))
+    direct = direct.select("id_1", "id_2")
     clash = members.groupBy("component", "census").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("component")
     people = members.where("person <> 0").groupBy("component").agg(F.min("person").alias("x"), F.max("person").alias("y")).where("x <> y").select("component")
     clash = clash.union(people).distinct()
