@@ -46,7 +46,7 @@ def location_distance(a: str, b: str, units: Sequence[str] = ("bi_baer", "bi_sok
 
 @dataclass(frozen=True)
 class Marital:
-    """Codes of never married, once married and married."""
+    """Codes of never married, once married and married. Fixed values."""
 
     never: str = "Ó"
     once: tuple[str, ...] = ("S", "L", "E")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+#: Bounds of a confidence. Fixed values.
 LOW, HIGH = 0.01, 0.99
 
 
@@ -44,6 +45,7 @@ def statements(a: str, b: str) -> Column:
     def stated(c: str, side: str) -> Column:
         return F.concat(F.lit(f"{c}_is_"), F.col(f"{side}.{c}").cast("string"))
 
+    # The wording of the statements: fixed values.
     years = F.abs(F.col(f"{a}.manntal").cast("double") - F.col(f"{b}.manntal").cast("double"))
     said = F.array(
         F.concat(F.lit("differ_in_"), years.cast("string"), F.lit("_years")),

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kinweave.functions.compare import Marital, age_distance, edits_within, location_distance, marital_distance, name_distance
 from kinweave.runtime import Scratch, small_side
 
+#: Largest edit distances of the name columns. Fixed values.
 CAPS = {"fornafn": 2, "millinafn": 8, "eftirnafn": 4}
+#: Below this score an edge may hold; a seed's uniqueness times it is the bound for its census; the cap beyond. Fixed values.
+HOLDS, WIDEST = 10, 20
 TERMS = ("name", "age", "location", "marital", "stada")
 
 
@@ -60,7 +63,7 @@ def accepted(edges: DataFrame) -> DataFrame:
     """Edges that hold: score below 10, and the best score of the seed in that census below 10 times the seed's uniqueness."""
     w = Window.partitionBy("seed_id", "manntal")
     best = edges.withColumn("_best", F.min("score").over(w))
-    return best.where((F.col("score") < 10) & (F.col("_best") < F.col("seed_u") * 10.0) & (F.col("score") < F.col("seed_u") * 10.0 + 20.0)).drop("_best")
+    return best.where((F.col("score") < HOLDS) & (F.col("_best") < F.col("seed_u") * float(HOLDS)) & (F.col("score") < F.col("seed_u") * float(HOLDS) + WIDEST)).drop("_best")
 
 
 def first_seed(edges: DataFrame) -> DataFrame:

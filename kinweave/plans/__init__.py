@@ -1 +1 @@
-
+"""Record tables for the driver's general tables."""

@@ -1 +1 @@
-
+"""Records that arrive as a stream."""
