@@ -125,7 +125,9 @@ def _pieces(width: int):
         for b in batches:
             for i in range(b.num_rows):
                 doc, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                rows = b.column(2)[i].as_py()
+                # A key may have several texts, and a place of one of them need not exist in the others.
+                last = len(text) - width
+                rows = [r | {"p2": min(r["p2"], last)} for r in b.column(2)[i].as_py() if r["p1"] <= last]
                 cold = [r for r in rows if not r["hot"]]
                 n = len(cold)
                 if n:
