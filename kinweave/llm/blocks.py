@@ -148,13 +148,14 @@ def _spread(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> tuple[np.ndarray,
     return np.repeat(i, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, crowd: dict[int, int] | None = None, rows: int = 100_000, most: int = 1_500_000):
+def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, hopeful: Callable | None = None, rows: int = 100_000, most: int = 1_500_000):
     """Runs over rows sorted by (key, fit): enumerates the pairs of each block and hands them to `judge` with the likeness
     of their names, and a function that gives persons and hashes of the spellings of chosen pairs. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right).
 
-    In large one-sided blocks rows of one spelling and year are one cell: cells are compared, and only the rows of alike
-    ones of different spelling are paired. In two-sided ones a right row with more than `crowd` (by kind) left rows about its
-    year is passed over; that is the number from which `judge` would refuse all of them.
+    Rows of one spelling and year are one cell, and cells are compared: in large one-sided blocks, and in all two-sided ones.
+    In two-sided ones `dense` counts for each pair the other persons of side 0 born within two years of the right row whose
+    names are alike as much as the pair's: distinct ids, less those that a person has by the way, as most ids in one census
+    tell the number of persons. `hopeful` tells from kind, gap, this number and the likeness which pairs of cells `judge` could take.
     """
 
     def alikes(text: list[str], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,24 +179,12 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, cro
         text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
         spelt: dict[str, int] = {}
         same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
-        if two_sided:
-            left, right = np.flatnonzero(part["side"] == 0), np.flatnonzero(part["side"] == 1)
-            pl, pr = place[left], place[right]
-            lo, hi = np.searchsorted(pl, pr - NEAR, "left"), np.searchsorted(pl, pr + NEAR, "right")
-            known = part["birth"][right] > 0
-            all_lo, all_hi = np.searchsorted(block[left], block[right], "left"), np.searchsorted(block[left], block[right], "right")
-            dense = np.where(known, hi - lo, all_hi - all_lo).astype(np.int32)
-            limit = np.array([(crowd or {}).get(k, 1 << 30) for k in range(4)])[part["kind"][right]]
-            w = whole[right]
-            lo, hi = np.where(w, all_lo, np.where(known, lo, 0)), np.where(w, all_hi, np.where(known & (dense <= limit), hi, 0))
-            base = right
-        else:
+        if not two_sided:
             dense = np.where(part["birth"] > 0, np.searchsorted(place, place + NEAR, "right") - np.searchsorted(place, place - NEAR, "left"), size[block]).astype(np.int32)
             # Blocks of kind 3 span ten years; one nowhere dense is compared whole too, for its records of one spelling.
             whole |= ((np.maximum.reduceat(dense, start) <= small) & (part["kind"][start] == 3))[block]
             lo = np.arange(n) + 1
             hi = np.where(whole, (start + size)[block], 0)
-            base = np.arange(n)
         ids, person = t.column("id").to_numpy(), t.column("person").to_numpy()
 
         def judged(i: np.ndarray, j: np.ndarray, d: np.ndarray, alike=None, mixed=None) -> Iterator[pa.RecordBatch]:
@@ -229,7 +218,7 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, cro
 
         hashes: list[np.ndarray] = []
 
-        def sliced(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def sliced(lo: np.ndarray, hi: np.ndarray, most: int = most) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Pairs (k, l) with lo[k] <= l < hi[k], some at a time."""
             upto, at = np.cumsum(np.maximum(hi - lo, 0)), 0
             while at < len(lo):
@@ -237,13 +226,58 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, cro
                 yield _spread(lo[at:end], hi[at:end], np.arange(at, end))
                 at = end
 
-        for k, other in sliced(lo, hi):
-            if two_sided:
-                yield from judged(left[other], base[k], dense[k])
-            else:
-                yield from judged(k, other, np.maximum(dense[k], dense[other]))
+        def cells(of: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Distinct ids of rows as cells: place, one row, first member, count; members by cell; cell and row of each member."""
+            of = of[np.lexsort((ids[of], same[of], place[of]))]
+            mark = place[of] * len(spelt) + same[of]
+            if len(of):
+                of = of[np.concatenate([[True], (mark[1:] != mark[:-1]) | (ids[of][1:] != ids[of][:-1])])]
+            _, at, back, count = np.unique(place[of] * len(spelt) + same[of], return_index=True, return_inverse=True, return_counts=True)
+            return place[of][at], of[at], at, count, of, back
+
+        def crossed() -> Iterator[pa.RecordBatch]:
+            where, row, first, count, members, cell = cells(np.flatnonzero(part["side"] == 0))
+            where_r, row_r, first_r, count_r, members_r, _ = cells(np.flatnonzero(part["side"] == 1))
+            if not len(row) or not len(row_r):
+                return
+            years, at = np.unique(part["census"][members], return_inverse=True)
+            met = np.zeros((len(row), len(years)), dtype=np.int32)  # ids of each cell by census
+            np.add.at(met, (cell, at), 1)
+            kind_r, birth_r = part["kind"][row_r], part["birth"][row_r]
+            known, w = birth_r > 0, whole[row_r]
+            lo = np.where(w, np.searchsorted(block[row], block[row_r], "left"), np.where(known, np.searchsorted(where, where_r - NEAR, "left"), 0))
+            hi = np.where(w, np.searchsorted(block[row], block[row_r], "right"), np.where(known, np.searchsorted(where, where_r + NEAR, "right"), 0))
+            for k, other in sliced(lo, hi, most // 4):
+                if not len(k):
+                    continue
+                alike, mixed = alikes(text, code[row[other]], code[row_r[k]])
+                on = (alike > 0) | mixed
+                k, other, alike, mixed = k[on], other[on], alike[on], mixed[on]
+                order = np.lexsort((-alike, k))
+                k, other, alike, mixed = k[order], other[order], alike[order], mixed[order]
+                if not len(k):
+                    continue
+                gap = np.where((part["birth"][row[other]] > 0) & known[k], np.abs(part["birth"][row[other]] - birth_r[k]), -1)
+                # Ids by census as alike as the pair or more: sums from the first pair of the right cell to the last as alike.
+                sums = np.cumsum(met[other] * (((gap >= 0) & (gap <= NEAR)) | ~known[k])[:, None], axis=0, dtype=np.int64)
+                begins = np.concatenate([[True], k[1:] != k[:-1]])
+                starts = np.flatnonzero(begins)
+                before = np.where((starts > 0)[:, None], sums[starts - 1], 0)[np.cumsum(begins) - 1]
+                ends = np.flatnonzero(np.concatenate([begins[1:] | (alike[1:] != alike[:-1]), [True]]))
+                sums = sums[ends[np.searchsorted(ends, np.arange(len(k)))]] - before
+                total, persons = sums.sum(axis=1), np.maximum(1, sums.max(axis=1))
+                others = total - total / persons
+                on = hopeful(kind_r[k], gap, others, alike, mixed)
+                k, other, alike, mixed, others = k[on], other[on], alike[on], mixed[on], others[on]
+                pair, r = _spread(first_r[k], first_r[k] + count_r[k], np.arange(len(k)))
+                for q, i in sliced(first[other[pair]], first[other[pair]] + count[other[pair]]):
+                    yield from judged(members[i], members_r[r[q]], others[pair[q]], alike[pair[q]], mixed[pair[q]])
+
         if two_sided:
+            yield from crossed()
             return
+        for k, other in sliced(lo, hi):
+            yield from judged(k, other, np.maximum(dense[k], dense[other]))
         big = np.flatnonzero(~whole & (part["birth"] > 0))
         if not len(big):
             return
