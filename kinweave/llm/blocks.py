@@ -148,14 +148,16 @@ def _spread(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> tuple[np.ndarray,
     return np.repeat(i, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, hopeful: Callable | None = None, rows: int = 100_000, most: int = 1_500_000):
+def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, promising: Callable, rows: int = 100_000, most: int = 1_500_000):
     """Runs over rows sorted by (key, fit): enumerates the pairs of each block and hands them to `judge` with the likeness
     of their names, and a function that gives persons and hashes of the spellings of chosen pairs. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right).
 
-    Rows of one spelling and year are one cell, and cells are compared: in large one-sided blocks, and in all two-sided ones.
-    In two-sided ones `dense` counts for each pair the other persons of side 0 born within two years of the right row whose
-    names are alike as much as the pair's: distinct ids, less those that a person has by the way, as most ids in one census
-    tell the number of persons. `hopeful` tells from kind, gap, this number and the likeness which pairs of cells `judge` could take.
+    Rows of one spelling and year are one cell, and cells are compared. `dense` counts the other persons whose names are alike,
+    by distinct ids less those that a person has by the way, as most ids in one census tell the number of persons. In
+    two-sided blocks it counts for each pair records of side 0 born within two years of the right row whose names are alike as
+    much as the pair's, in one-sided ones for each record those born within two years of it (of any year if its own is gone).
+    `promising` tells which pairs of cells `judge` could take: in two-sided blocks from kind, gap, dense and the likeness,
+    in one-sided ones from dense and whether the spelling is one.
     """
 
     def alikes(text: list[str], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +181,6 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, hop
         text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
         spelt: dict[str, int] = {}
         same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
-        if not two_sided:
-            dense = np.where(part["birth"] > 0, np.searchsorted(place, place + NEAR, "right") - np.searchsorted(place, place - NEAR, "left"), size[block]).astype(np.int32)
-            # Blocks of kind 3 span ten years; one nowhere dense is compared whole too, for its records of one spelling.
-            whole |= ((np.maximum.reduceat(dense, start) <= small) & (part["kind"][start] == 3))[block]
-            lo = np.arange(n) + 1
-            hi = np.where(whole, (start + size)[block], 0)
         ids, person = t.column("id").to_numpy(), t.column("person").to_numpy()
 
         def judged(i: np.ndarray, j: np.ndarray, d: np.ndarray, alike=None, mixed=None) -> Iterator[pa.RecordBatch]:
@@ -267,37 +263,51 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, hop
                 sums = sums[ends[np.searchsorted(ends, np.arange(len(k)))]] - before
                 total, persons = sums.sum(axis=1), np.maximum(1, sums.max(axis=1))
                 others = total - total / persons
-                on = hopeful(kind_r[k], gap, others, alike, mixed)
+                on = promising(kind_r[k], gap, others, alike, mixed)
                 k, other, alike, mixed, others = k[on], other[on], alike[on], mixed[on], others[on]
                 pair, r = _spread(first_r[k], first_r[k] + count_r[k], np.arange(len(k)))
                 for q, i in sliced(first[other[pair]], first[other[pair]] + count[other[pair]]):
                     yield from judged(members[i], members_r[r[q]], others[pair[q]], alike[pair[q]], mixed[pair[q]])
 
-        if two_sided:
-            yield from crossed()
-            return
-        for k, other in sliced(lo, hi):
-            yield from judged(k, other, np.maximum(dense[k], dense[other]))
-        big = np.flatnonzero(~whole & (part["birth"] > 0))
-        if not len(big):
-            return
-        cell, at, back, count = np.unique(place[big] * len(spelt) + same[big], return_index=True, return_inverse=True, return_counts=True)
-        where, spelling, name = cell // len(spelt), cell % len(spelt), code[big][at]
-        members = big[np.argsort(back, kind="stable")]
-        first = np.cumsum(count) - count
-        for k, other in sliced(np.arange(len(cell)) + 1, np.searchsorted(where, where + NEAR, "right")):
-            differ = spelling[k] != spelling[other]
-            k, other = k[differ], other[differ]
-            if not len(k):
-                continue
-            alike, mixed = alikes(text, name[k], name[other])
-            on = (alike > 0) | mixed
-            k, other, alike, mixed = k[on], other[on], alike[on], mixed[on]
-            # Rows of each pair of cells: every left row with the range of right rows.
-            pair, row = _spread(first[k], first[k] + count[k], np.arange(len(k)))
-            for q, r in sliced(first[other[pair]], first[other[pair]] + count[other[pair]]):
-                i, j = members[row[q]], members[r]
-                yield from judged(i, j, np.maximum(dense[i], dense[j]), alike[pair[q]], mixed[pair[q]])
+        def within() -> Iterator[pa.RecordBatch]:
+            where, row, first, count, members, cell = cells(np.arange(n))
+            years, at = np.unique(part["census"][members], return_inverse=True)
+            met = np.zeros((len(row), len(years)), dtype=np.int32)  # ids of each cell by census
+            np.add.at(met, (cell, at), 1)
+            born = part["birth"][row]
+            hi = np.where(whole[row], np.searchsorted(block[row], block[row], "right"), np.where(born > 0, np.searchsorted(where, where + NEAR, "right"), 0))
+            alike_ids, mixed_ids, found = met.astype(np.int64), met.astype(np.int64), []
+            for k, other in sliced(np.arange(len(row)) + 1, hi, most // 4):
+                gap = np.abs(born[k] - born[other])
+                some = (born[k] == 0) | (born[other] == 0)
+                on = some | (gap <= NEAR) | (gap <= 10) & ((born[k] % 5 == 0) | (born[other] % 5 == 0))
+                k, other, some, gap = k[on], other[on], some[on], gap[on]
+                if not len(k):
+                    continue
+                alike, mixed = alikes(text, code[row[k]], code[row[other]])
+                on = (alike > 0) | mixed
+                k, other, alike, mixed, some, gap = k[on], other[on], alike[on], mixed[on], some[on], gap[on]
+                # A record without year counts only for others without.
+                for x, y in ((k, other), (other, k)):
+                    counts = (born[x] == 0) | ~some & (gap <= NEAR)
+                    np.add.at(mixed_ids, x[counts], met[y[counts]])
+                    counts &= alike > 0
+                    np.add.at(alike_ids, x[counts], met[y[counts]])
+                found.append((k, other, alike, mixed))
+            others, others_mixed = (x.sum(axis=1) * (1 - 1 / np.maximum(1, x.max(axis=1))) for x in (alike_ids, mixed_ids))
+            # Records of one cell have one spelling and year.
+            own = np.flatnonzero((count > 1) & (part["kind"][row] == 3))
+            found.append((own, own, np.ones(len(own)), np.zeros(len(own), dtype=bool)))
+            for k, other, alike, mixed in found:
+                dense = np.where(alike > 0, np.maximum(others[k], others[other]), np.maximum(others_mixed[k], others_mixed[other]))
+                on = promising(dense, same[row[k]] == same[row[other]])
+                k, other, alike, mixed, dense = k[on], other[on], alike[on], mixed[on], dense[on]
+                pair, i = _spread(first[k], first[k] + count[k], np.arange(len(k)))
+                lo = np.where(k[pair] == other[pair], i + 1, first[other[pair]])
+                for q, j in sliced(lo, first[other[pair]] + count[other[pair]]):
+                    yield from judged(members[i[q]], members[j], dense[pair[q]], alike[pair[q]], mixed[pair[q]])
+
+        yield from crossed() if two_sided else within()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

@@ -80,7 +80,7 @@ def _judged(rare: int):
         keep = np.where(
             equal, few & known & (gap <= 1),
             np.where(curated, (alike > 0) | mixed,
-            np.where(kind == 3, (alike >= 0.85) & known & (gap <= 1) & few,
+            np.where(kind == 3, (alike >= 0.85) & known & ((gap <= 1) & few | near & (dense == 0)),
             np.where(near, (alike >= 0.8) | (mixed & few), (alike >= 0.92) & (~known | rounded) & few))),
         )
         if not keep.any():
@@ -106,8 +106,9 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     Blocks are made of phonetic codes of the tokens with the place or the years of birth, and compared after one exchange
     (blocks.py): names by Jaro-Winkler and edits, call names, cut-off forms and order (names.name_alike). Two tokens that
     are both established as names are two names. Records of different curated persons are never one. Away from one place,
-    and where years of birth are rounded or gone, only names borne by at most `rare` records of the years count, since
-    more can't be told apart. Accepted pairs and records of one rare spelling make components; their members of different
+    and where years of birth are rounded or gone, only names count to which at most `rare` records of other persons of
+    the years are alike, since more can't be told apart; years two apart only if there is no other. Records without year meet
+    at one place only. Accepted pairs and records of one rare spelling make components; their members of different
     censuses and spellings are the result. A component with two records of one census, or with two curated persons, holds
     more than one person; of it only the pairs compared directly are kept.
     """
@@ -117,7 +118,7 @@ def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFram
     calls = call_names(called, established(base.select("name")))
     blocked = base.mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
     side = "id_{0} bigint, census_{0} int, person_{0} bigint, same_{0} bigint"
-    found = blocked.mapInArrow(compared(calls, _judged(rare), False, rare), f"{side.format(1)}, {side.format(2)}, equal boolean")
+    found = blocked.mapInArrow(compared(calls, _judged(rare), False, 9, lambda dense, equal: ~equal | (dense <= rare)), f"{side.format(1)}, {side.format(2)}, equal boolean")
     edges = scratch.keep(found.groupBy("id_1", "id_2").agg(*[F.min(c).alias(c) for c in _EDGE if not c.startswith("id")]))
     direct = edges.where("not equal")
     touched = small_side(direct.select(F.col("id_1").alias("id")).union(direct.select("id_2")).distinct())
