@@ -63,7 +63,8 @@ def _chosen_anchors(width: int, cap: int):
 
 
 def _shared_classes(cap: int):
-    """Rows of keys that two documents hold, from rows sorted by (hot, key, doc_id); hot rows pass."""
+    """Rows of keys that two documents hold, from rows sorted by (hot, key, doc_id); hot rows pass, and so do the `cap` and
+    more cold ones of a key, be they of one document, since others may have passed as hot."""
     names = ["key", "doc_id", "at", "p1", "p2", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,13 +79,13 @@ def _shared_classes(cap: int):
             apart = doc[starts] != doc[ends]
             rest = None
             if not last:
-                if not (hot[starts[-1]] or (apart[-1] and size[-1] >= cap)):
+                if not (hot[starts[-1]] or size[-1] >= cap):
                     rest = t.slice(int(starts[-1]))
                     starts, size, apart = starts[:-1], size[:-1], apart[:-1]
                     n -= rest.num_rows
             g = np.repeat(np.arange(len(starts)), size)
             hot = hot[:n] | (size >= cap)[g]
-            take = np.flatnonzero(hot[:n] & (t.column("hot").to_numpy()[:n] | apart[g]) | apart[g])
+            take = np.flatnonzero(hot | apart[g])
             if not len(take):
                 return None, rest
             out = t.slice(0, n).set_column(5, "hot", pa.array(hot)).take(pa.array(take))
@@ -235,7 +236,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where((F.char_length("text") >= width) & F.col("doc_id").isNotNull())
-    prints = base.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("m"), F.char_length("text").alias("n")).distinct()
+    prints = scratch.keep(base.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("m"), F.char_length("text").alias("n")).distinct())
     several = prints.groupBy("m", "n").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("_other")).where("kept <> _other").drop("_other")
     copies = scratch.keep(prints.join(several, ["m", "n"]).select("doc_id", "n", (F.col("doc_id") != F.col("kept")).alias("spare")))
 
@@ -243,7 +244,9 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     met = base.mapInArrow(_chosen_anchors(width, cap), shape)
     met = met.repartition(F.when(F.col("hot"), F.xxhash64("doc_id", "p1")).otherwise(F.col("key"))).sortWithinPartitions("hot", "key", "doc_id")
     met = met.mapInArrow(_shared_classes(cap), shape)
-    spare = copies.where("spare").select("doc_id").distinct()
+    # A key takes no part only if all its texts are spare copies.
+    texts = prints.groupBy("doc_id").agg(F.count("*").alias("_texts")).where("_texts > 1")
+    spare = copies.where("spare").groupBy("doc_id").agg(F.count("*").alias("_spare")).join(texts, "doc_id", "left").where("_texts is null or _spare = _texts").select("doc_id")
     found = scratch.keep(met.join(small_side(spare), "doc_id", "left_anti"))
 
     ids = small_side(found.select("doc_id").distinct())

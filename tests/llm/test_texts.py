@@ -182,3 +182,27 @@ def test_mixing(spark):
     assert sorted(map(tuple, again)) == sorted(tuple(x.values()) for x in held)
     empty, none = mix_sources(df.limit(0), targets)
     assert empty.count() == 0 and none.count() == 4
+
+
+def test_rows_of_a_hot_key_all_of_one_document_pass():
+    import pyarrow as pa
+
+    from kinweave.llm.spans import _shared_classes
+
+    doc, hot = [1] * 5 + [2] * 3, [False] * 5 + [True] * 3
+    flat = pa.array(range(8), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 8, pa.int64()), pa.array(doc, pa.int64()), flat, flat, flat, pa.array(hot)], names=["key", "doc_id", "at", "p1", "p2", "hot"])
+    for parts in ([batch], [batch.slice(i, 1) for i in range(8)]):
+        out = pa.Table.from_batches(list(_shared_classes(4)(iter(parts))))
+        assert out.column("doc_id").to_pylist() == doc and all(out.column("hot").to_pylist())
+
+
+def test_spans_of_a_key_with_a_copy_and_another_text(spark, rows):
+    import random
+
+    from kinweave.llm.spans import shared_spans
+
+    r = random.Random(9)
+    a, b = ("".join(r.choice("abcdefghij ") for _ in range(400)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, f"x{b}y")], "doc_id long, text string")
+    assert rows(shared_spans(df)) == [(1, 0, 400), (2, 0, 400), (3, 1, 401)]
