@@ -1,9 +1,9 @@
-"""Blocks of records that share a phonetic key, compared where they meet after one exchange.
+"""Blocks of cells that share a key of phonetic codes, compared where they meet after one exchange.
 
-A record enters several blocks. A row of a block is (key, fit, id, person, name): the key is a hash of its text; fit holds
-year of birth, place (16 bits of it), census, sex, kind of key and side in one number, so that sorting by (key, fit) sorts a block by year of birth.
-Small blocks are compared whole. In larger ones only records born within two years of each other meet, so that a task
-holds no more of a block than such a window of years, and the names are compared once for each two spellings.
+A cell (cells.py) enters several blocks. A row of a block is (key, fit, cell, name): the key is a hash of its text; fit
+holds years of birth, parish and place (12 and 16 bits of them), censuses, sex, kind of key and side in one number, its order being that of the years.
+A task holds no more of a block than a window of years and the cells without year. Names are compared once for each two
+spellings that meet in a chunk.
 """
 
 from __future__ import annotations
@@ -11,16 +11,22 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
 
+from kinweave.llm.cells import CENSUSES, NEAR
 from kinweave.llm.names import CallNames, name_alike, phonetic, stem_of_patronymic, tokens
 
-NEAR = 2
-ROWS = "key bigint, fit bigint, id bigint, person bigint, name string"
-_NAMES = ["key", "fit", "id", "person", "name"]
+#: Years that a year of birth rounded down to the decade may be off.
+ROUNDED = 10
+#: Most years between the first and last year of birth of a cell that a row holds.
+SPAN = 15
+ROWS = "key bigint, fit bigint, cell bigint, name string"
+_NAMES = ["key", "fit", "cell", "name"]
+_MET = (1 << CENSUSES) - 1
+_U = np.uint64
 
 
 @lru_cache(maxsize=200_000)
@@ -28,11 +34,16 @@ def plain_spelling(name: str) -> str:
     return " ".join(unicodedata.normalize("NFC", name).lower().split())
 
 
-def fit_parts(fit: np.ndarray) -> dict[str, np.ndarray]:
-    return {"birth": (fit >> 40).astype(np.int32), "place": ((fit >> 24) & 0xFFFF).astype(np.int32), "census": ((fit >> 12) & 0xFFF).astype(np.int32), "sex": ((fit >> 8) & 3).astype(np.int8), "kind": ((fit >> 4) & 3).astype(np.int8), "side": (fit & 1).astype(np.int8)}
+def fit_of(lo, hi, parish, place, met, sex, kind, side) -> np.ndarray:
+    return (lo << 51) | (np.minimum(hi - lo, SPAN) << 47) | (parish << 35) | (place << 19) | (met << 5) | (sex << 3) | (kind << 1) | side
 
 
-_U = np.uint64
+def fit_parts(fit: np.ndarray) -> dict[str, np.ndarray]:
+    lo = (fit >> 51).astype(np.int32)
+    return {
+        "lo": lo, "hi": lo + ((fit >> 47) & SPAN).astype(np.int32), "parish": ((fit >> 35) & 0xFFF).astype(np.int32), "place": ((fit >> 19) & 0xFFFF).astype(np.int32), "met": ((fit >> 5) & _MET).astype(np.int32),
+        "sex": ((fit >> 3) & 3).astype(np.int8), "kind": ((fit >> 1) & 3).astype(np.int8), "side": (fit & 1).astype(np.int8),
+    }
 
 
 def _mixed(seed: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -46,15 +57,16 @@ _seeds: dict[int, dict[str, tuple]] = {}
 
 
 class _Seeds:
-    """Hashes of each name's codes, for the three kinds of keys; given names first, call names as all they may stand for.
+    """Hashes of each name's codes, for the three kinds of keys; given names also as what they may be call names of.
 
-    A worker keeps them for the tasks that follow with the same call names.
+    Names are taken in any order that their last token leaves open: a last token that is no patronymic may as well be the first.
+    A worker keeps the hashes for the tasks that follow with the same call names.
     """
 
     def __init__(self, calls: CallNames):
         import xxhash
 
-        mark = xxhash.xxh64_intdigest(repr(sorted((k, sorted(v)) for k, v in calls.of.items())))
+        mark = xxhash.xxh64_intdigest(repr((sorted((k, sorted(v)) for k, v in calls.of.items()), len(calls.known))))
         if mark not in _seeds:
             _seeds.clear()
         self.digest, self.calls, self.known = xxhash.xxh64_intdigest, calls, _seeds.setdefault(mark, {})
@@ -63,14 +75,21 @@ class _Seeds:
         got = self.known.get(name)
         if got is None:
             t = tokens(name)
-            given = [t[0], *sorted(self.calls.roots(t[0]))] if t else []
-            last = phonetic(stem_of_patronymic(t[-1])[0]) if len(t) > 1 else ""
-            firsts = sorted({phonetic(g) for g in given})
-            got = (
-                [self.digest(f"1{last}|{x}") for x in sorted({g[0] for g in given})] if last else [],
-                [self.digest(f"2{f}") for f in firsts],
-                [self.digest(f"3{f}|{last}") for f in firsts] if last else [],
-            )
+            one, two, three = set(), set(), set()
+            orders = [(t[0], t[-1])] if len(t) > 1 else [(t[0], "")] if t else []
+            if len(t) > 1 and not stem_of_patronymic(t[-1])[1]:
+                orders.append((t[-1], t[0]))
+            for first, last in orders:
+                given = [first, *sorted(self.calls.roots(first))]
+                code = phonetic(stem_of_patronymic(last)[0]) if last else ""
+                firsts = {phonetic(g) for g in given}
+                two |= {f"2{f}" for f in firsts}
+                if last:
+                    one |= {f"1{code}|{g[0]}" for g in given}
+                    three |= {"3" + "|".join(sorted((f, code))) for f in firsts}
+            if len(t) > 2:
+                three.add("4" + "|".join(sorted(phonetic(x) for x in t)))
+            got = tuple([self.digest(x) for x in sorted(s)] for s in (one, two, three))
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[name] = got
@@ -78,12 +97,12 @@ class _Seeds:
 
 
 def key_rows(calls: CallNames, side: int, bands: str):
-    """Rows of blocks for records (name, birth, place, sex, id, census, person, born). Kinds of keys:
+    """Rows of blocks for cells (cells.CELL). Kinds of keys:
 
-    1 last-name code, first letter, place and sex; 2 first-name code, place, sex and years of birth in eights; 3 both codes,
-    sex and such years. bands: `own` for the record's own eight, `next` also for the one that begins within two years, `both` also
-    for the one that ended within two years. Two records within two years of each other meet if both have `next`, or if one
-    has `own` and the other `both`.
+    1 last-name code, first letter, place and sex; 2 first-name code, place, sex and years of birth in eights; 3 the codes of
+    a first and a last name, sorted, or of all of three tokens or more, with sex and such years. bands: `own` for the eights of
+    the cell's years, `next` also for those that begin within two years, `both` also for those that ended within two years.
+    Two cells within two years of each other meet if both have `next`, or if one has `own` and the other `both`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,17 +110,15 @@ def key_rows(calls: CallNames, side: int, bands: str):
         for b in batches:
             if not b.num_rows:
                 continue
-            names = b.column(0).dictionary_encode()
+            names = b.column(1).dictionary_encode()
             code = names.indices.to_numpy(zero_copy_only=False)
             lists = [seeds.of(x) for x in names.dictionary.to_pylist()]
-            born, sexes, census = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (7, 3, 5))
+            sexes, lo, hi, met = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (4, 5, 6, 7))
+            hi = np.minimum(hi, lo + SPAN)
+            parish = np.where(b.column(3).is_null().to_numpy(zero_copy_only=False), 0, b.column(3).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) % 4_093 + 1)
             placed = ~b.column(2).is_null().to_numpy(zero_copy_only=False)
             place = b.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            eights = [born // 8]
-            if bands != "own":
-                eights.append((born + NEAR) // 8)
-            if bands == "both":
-                eights.append((born - NEAR) // 8)
+            first, last = (lo - NEAR * (bands == "both")) // 8, (hi + NEAR * (bands != "own")) // 8
             keys, rows, kinds = [], [], []
             for kind in (1, 2, 3):
                 flat = np.array([h for x in lists for h in x[kind - 1]], dtype=_U)
@@ -111,201 +128,178 @@ def key_rows(calls: CallNames, side: int, bands: str):
                 if kind < 3:
                     seed, row = seed[placed[row]], row[placed[row]]
                     seed = _mixed(seed, place[row])
-                # A record of unknown sex enters the blocks of both.
+                # A cell of unknown sex enters the blocks of both.
                 both = np.flatnonzero(sexes[row] == 0)
                 of = np.concatenate([np.maximum(sexes[row], 1), np.full(len(both), 2)])
                 seed, row = np.concatenate([seed, seed[both]]), np.concatenate([row, row[both]])
                 seed = _mixed(seed, of)
-                if kind == 1:
-                    keys.append(seed), rows.append(row), kinds.append(np.full(len(row), kind))
-                    continue
-                for e in range(len(eights)):
-                    ok = born[row] > 0
-                    for f in range(e):
-                        ok &= eights[e][row] != eights[f][row]
-                    keys.append(_mixed(seed[ok], eights[e][row[ok]])), rows.append(row[ok]), kinds.append(np.full(ok.sum(), kind))
+                if kind > 1:
+                    dated = lo[row] > 0
+                    seed, row = seed[dated], row[dated]
+                    at, eight = _spread(first[row], last[row] + 1, np.arange(len(row)))
+                    seed, row = _mixed(seed[at], eight), row[at]
+                keys.append(seed), rows.append(row), kinds.append(np.full(len(row), kind))
             row, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
             where = np.where(placed, place % 65_521 + 1, 0)[row]
-            fit = (born[row] << 40) | (where << 24) | (census[row] << 12) | (sexes[row] << 8) | (kind << 4) | side
+            fit = fit_of(lo[row], hi[row], parish[row], where, met[row], sexes[row], kind, side)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(4).take(take), b.column(6).take(take), b.column(0).take(take)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(0).take(take), b.column(1).take(take)], names=_NAMES)
 
     return run
 
 
-def records(df: DataFrame, sex_of: Callable[[Column], Column], person: Column) -> DataFrame:
-    """What key_rows needs, of records with id, census and name."""
-    birth = F.when(F.col("faedingarar").between(1000, 2200), F.col("faedingarar").cast("int"))
-    out = df.select(
-        F.col("nafn").alias("name"), birth.alias("birth"), F.col("bi_baer").cast("long").alias("place"), sex_of(F.col("kyn")).alias("sex"), F.col("id").cast("long").alias("id"),
-        F.col("manntal").cast("int").alias("census"), F.coalesce(person, F.lit(0)).cast("long").alias("person"), F.coalesce(birth, F.lit(0)).alias("born"),
-    )
-    return out.where("id is not null and census between 1 and 4000 and name is not null and name not in ('', 'NaN') and trim(name) <> ''")
-
-
 def _spread(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(hi - lo, 0)
     return np.repeat(i, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, promising: Callable, rows: int = 100_000, most: int = 1_500_000):
-    """Runs over rows sorted by (key, fit): enumerates the pairs of each block and hands them to `judge` with the likeness
-    of their names, and a function that gives persons and hashes of the spellings of chosen pairs. One-sided blocks give each pair once; two-sided ones pairs of side 0 (left) and side 1 (right).
+class Met(NamedTuple):
+    """Pairs of cells that met: all arrays of one length."""
+
+    one: np.ndarray
+    two: np.ndarray
+    met_1: np.ndarray  # bits of the censuses
+    met_2: np.ndarray
+    kind: np.ndarray
+    here: np.ndarray  # at one place
+    parish: np.ndarray  # of one parish
+    gap: np.ndarray  # years between the years of birth, -1 if unknown
+    alike: np.ndarray
+    mixed: np.ndarray
+    equal: np.ndarray  # spelling
+    others: np.ndarray  # other persons near in years, as alike to one of the two
 
-    Rows of one spelling and year are one cell, and cells are compared. `dense` counts the other persons whose names are alike,
-    by distinct ids less those that a person has by the way, as most ids in one census tell the number of persons. In
-    two-sided blocks it counts for each pair records of side 0 born within two years of the right row whose names are alike as
-    much as the pair's, in one-sided ones for each record those born within two years of it (of any year if its own is gone).
-    `promising` tells which pairs of cells `judge` could take: in two-sided blocks from kind, gap, dense and the likeness,
-    in one-sided ones from dense and whether the spelling is one.
+
+def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100_000, most: int = 1_500_000):
+    """Runs over rows sorted by (key, fit): enumerates the pairs of each block and hands them to `judge` as `Met`.
+
+    One-sided blocks give each pair once; two-sided ones pairs of side 0 (one) and side 1 (two). Cells meet whose years of
+    birth are within NEAR; under kind 1 also all of which one has no year, or one rounded down, within ROUNDED. Two cells of
+    one census are two persons, and in one-sided blocks no pair. `others` counts cells near in years whose names are alike (or
+    alike as much as the pair's, in two-sided blocks, on side 0 only), in the census that has most of them, less the pair's own.
     """
 
     def alikes(text: list[str], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(x):
+            return np.zeros(0), np.zeros(0, dtype=bool)
         once, back = np.unique(x.astype(np.int64) * len(text) + y, return_inverse=True)
         got = [name_alike(text[v // len(text)], text[v % len(text)], calls) for v in once.tolist()]
         return np.array([g[0] for g in got])[back], np.array([g[1] for g in got])[back]
 
-    def pairs(t: pa.Table, fresh: int) -> Iterator[pa.RecordBatch]:
-        """Pairs of which at least one row comes at `fresh` or later."""
+    def sliced(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i[k], l) with lo[k] <= l < hi[k], some at a time."""
+        upto, at = np.cumsum(np.maximum(hi - lo, 0)), 0
+        while at < len(lo):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most // 4, "right")))
+            yield _spread(lo[at:end], hi[at:end], i[at:end])
+            at = end
+
+    def pairs(t: pa.Table, fresh: int, upto: int) -> Iterator[pa.RecordBatch]:
+        """Pairs whose later row comes at `fresh` or later and before `upto`."""
         t = t.combine_chunks()
         key, part = t.column("key").to_numpy(), fit_parts(t.column("fit").to_numpy())
         n = len(key)
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        block = np.cumsum(new) - 1
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, n))
-        place = block.astype(np.int64) * 8192 + part["birth"] + 4  # births of 0 stay apart from all years
-        whole = (size <= small)[block]
+        lo, hi, met, kind, place, parish, side, sex = (part[x] for x in ("lo", "hi", "met", "kind", "place", "parish", "side", "sex"))
+        block = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        ends = np.searchsorted(block, np.arange(block[-1] + 1), "right")[block]
         names = t.column("name").combine_chunks().dictionary_encode()
         names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
         text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
         spelt: dict[str, int] = {}
         same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
-        ids, person = t.column("id").to_numpy(), t.column("person").to_numpy()
-
-        def judged(i: np.ndarray, j: np.ndarray, d: np.ndarray, alike=None, mixed=None) -> Iterator[pa.RecordBatch]:
-            ok = (np.maximum(i, j) >= fresh) & (ids[i] != ids[j])
-            # Pairs of one place meet under kind 2 too.
-            ok &= (part["kind"][i] != 3) | (part["place"][i] != part["place"][j]) | (part["place"][i] == 0)
-            si, sj = part["sex"][i], part["sex"][j]
-            ok &= (si == sj) | (si == 0) | (sj == 0)
-            bi, bj = part["birth"][i], part["birth"][j]
-            gap = np.where((bi > 0) & (bj > 0), np.abs(bi - bj), -1)
-            rounded = (gap <= 10) & ((bi % 5 == 0) | (bj % 5 == 0))
-            ok &= (gap <= NEAR) | rounded
-            ok &= (person[i] == person[j]) | (person[i] == 0) | (person[j] == 0)
-            if not two_sided:
-                ok &= (part["census"][i] != part["census"][j]) & ((same[i] != same[j]) | ((part["kind"][i] == 3) & (gap >= 0) & (gap <= 1)))
-            i, j, d, gap, rounded = i[ok], j[ok], d[ok], gap[ok], rounded[ok]
-            if not len(i):
-                return
-            alike, mixed = alikes(text, code[i], code[j]) if alike is None else (alike[ok], mixed[ok])
-            yield from judge(
-                ids[i], ids[j], part["census"][i], part["census"][j], part["kind"][i], gap, rounded, d, alike, mixed, same[i] == same[j], (person[i] == person[j]) & (person[i] > 0),
-                lambda on: (person[i[on]], person[j[on]], spelling_hash()[same[i[on]]], spelling_hash()[same[j[on]]]),
-            )
-
-        def spelling_hash() -> np.ndarray:
-            if not hashes:
-                from xxhash import xxh64_intdigest
-
-                hashes.append(np.array([xxh64_intdigest(x) for x in spelt], dtype=_U).view(np.int64))
-            return hashes[0]
-
-        hashes: list[np.ndarray] = []
-
-        def sliced(lo: np.ndarray, hi: np.ndarray, most: int = most) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Pairs (k, l) with lo[k] <= l < hi[k], some at a time."""
-            upto, at = np.cumsum(np.maximum(hi - lo, 0)), 0
-            while at < len(lo):
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
-                yield _spread(lo[at:end], hi[at:end], np.arange(at, end))
-                at = end
-
-        def cells(of: np.ndarray) -> tuple[np.ndarray, ...]:
-            """Distinct ids of rows as cells: place, one row, first member, count; members by cell; cell and row of each member."""
-            of = of[np.lexsort((ids[of], same[of], place[of]))]
-            mark = place[of] * len(spelt) + same[of]
-            if len(of):
-                of = of[np.concatenate([[True], (mark[1:] != mark[:-1]) | (ids[of][1:] != ids[of][:-1])])]
-            _, at, back, count = np.unique(place[of] * len(spelt) + same[of], return_index=True, return_inverse=True, return_counts=True)
-            return place[of][at], of[at], at, count, of, back
+        cell = t.column("cell").to_numpy()
+        bits = [c for c in range(CENSUSES) if np.bitwise_or.reduce(met) >> c & 1]
+        dated, ten = lo > 0, (lo == hi) & (lo % 10 == 0)
+
+        def gaps(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.where(dated[i] & dated[j], np.maximum(0, np.maximum(lo[j] - hi[i], lo[i] - hi[j])), -1)
+
+        def sexed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (sex[i] == sex[j]) | (sex[i] == 0) | (sex[j] == 0)
+
+        def told(i, j, gap, alike, mixed, others) -> Iterator[pa.RecordBatch]:
+            if len(i):
+                yield from judge(Met(cell[i], cell[j], met[i], met[j], kind[i], (place[i] == place[j]) & (place[i] > 0), (parish[i] == parish[j]) & (parish[i] > 0), gap, alike, mixed, same[i] == same[j], others))
 
         def crossed() -> Iterator[pa.RecordBatch]:
-            where, row, first, count, members, cell = cells(np.flatnonzero(part["side"] == 0))
-            where_r, row_r, first_r, count_r, members_r, _ = cells(np.flatnonzero(part["side"] == 1))
-            if not len(row) or not len(row_r):
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
                 return
-            years, at = np.unique(part["census"][members], return_inverse=True)
-            met = np.zeros((len(row), len(years)), dtype=np.int32)  # ids of each cell by census
-            np.add.at(met, (cell, at), 1)
-            kind_r, birth_r = part["kind"][row_r], part["birth"][row_r]
-            known, w = birth_r > 0, whole[row_r]
-            lo = np.where(w, np.searchsorted(block[row], block[row_r], "left"), np.where(known, np.searchsorted(where, where_r - NEAR, "left"), 0))
-            hi = np.where(w, np.searchsorted(block[row], block[row_r], "right"), np.where(known, np.searchsorted(where, where_r + NEAR, "right"), 0))
-            for k, other in sliced(lo, hi, most // 4):
-                if not len(k):
-                    continue
-                alike, mixed = alikes(text, code[row[other]], code[row_r[k]])
-                on = (alike > 0) | mixed
-                k, other, alike, mixed = k[on], other[on], alike[on], mixed[on]
-                order = np.lexsort((-alike, k))
-                k, other, alike, mixed = k[order], other[order], alike[order], mixed[order]
-                if not len(k):
-                    continue
-                gap = np.where((part["birth"][row[other]] > 0) & known[k], np.abs(part["birth"][row[other]] - birth_r[k]), -1)
-                # Ids by census as alike as the pair or more: sums from the first pair of the right cell to the last as alike.
-                sums = np.cumsum(met[other] * (((gap >= 0) & (gap <= NEAR)) | ~known[k])[:, None], axis=0, dtype=np.int64)
-                begins = np.concatenate([[True], k[1:] != k[:-1]])
-                starts = np.flatnonzero(begins)
-                before = np.where((starts > 0)[:, None], sums[starts - 1], 0)[np.cumsum(begins) - 1]
-                ends = np.flatnonzero(np.concatenate([begins[1:] | (alike[1:] != alike[:-1]), [True]]))
-                sums = sums[ends[np.searchsorted(ends, np.arange(len(k)))]] - before
-                total, persons = sums.sum(axis=1), np.maximum(1, sums.max(axis=1))
-                others = total - total / persons
-                on = promising(kind_r[k], gap, others, alike, mixed)
-                k, other, alike, mixed, others = k[on], other[on], alike[on], mixed[on], others[on]
-                pair, r = _spread(first_r[k], first_r[k] + count_r[k], np.arange(len(k)))
-                for q, i in sliced(first[other[pair]], first[other[pair]] + count[other[pair]]):
-                    yield from judged(members[i], members_r[r[q]], others[pair[q]], alike[pair[q]], mixed[pair[q]])
+            at = block.astype(np.int64) * 8192
+            years, wide = (at + lo)[left], int((hi - lo)[left].max())
+            start, end = np.searchsorted(block[left], block[right], "left"), np.searchsorted(block[left], block[right], "right")
+            # Under kind 1 all years of the block from those of a rounded gap, and all without year; a right cell without year meets all.
+            first, far = kind[right] == 1, np.where(kind[right] == 1, ROUNDED, NEAR)
+            begin = np.where(dated[right], np.searchsorted(years, (at + np.maximum(1, lo - wide))[right] - far, "left"), np.where(first, start, 0))
+            begin = np.maximum(begin, start)
+            stop = np.where(dated[right], np.searchsorted(years, (at + hi)[right] + far, "right"), np.where(first, end, 0))
+            undated = np.searchsorted(years, at[right], "right")
+            extra = np.where(first & dated[right], np.minimum(undated, begin), start)
+            for los, his in ((begin, stop), (start, extra)):
+                for r, l in sliced(los, his, right):
+                    i = left[l]
+                    gap = gaps(i, r)
+                    ok = sexed(i, r) & ((gap <= NEAR) | np.where(lo[i] < lo[r], ten[i], ten[r])) & (cell[i] != cell[r])
+                    i, r, gap = i[ok], r[ok], gap[ok]
+                    alike, mixed = alikes(text, code[i], code[r])
+                    ok = (alike > 0) | mixed
+                    i, r, gap, alike, mixed = i[ok], r[ok], gap[ok], alike[ok], mixed[ok]
+                    if not len(i):
+                        continue
+                    order = np.lexsort((-alike, r))
+                    i, r, gap, alike, mixed = i[order], r[order], gap[order], alike[order], mixed[order]
+                    begins = np.concatenate([[True], r[1:] != r[:-1]])
+                    starts = np.flatnonzero(begins)
+                    last = np.flatnonzero(np.concatenate([begins[1:] | (alike[1:] != alike[:-1]), [True]]))
+                    last = last[np.searchsorted(last, np.arange(len(r)))]
+                    counts, persons = (gap <= NEAR) & ((gap >= 0) | ~dated[r]), np.zeros(len(r), dtype=np.int64)
+                    for c in bits:
+                        sums = np.cumsum((met[i] >> c & 1) * counts)
+                        before = np.where(starts > 0, sums[starts - 1], 0)[np.cumsum(begins) - 1]
+                        persons = np.maximum(persons, sums[last] - before - (met[i] >> c & 1) * counts)
+                    later = np.maximum(i, r)
+                    on = (later >= fresh) & (later < upto)
+                    yield from told(i[on], r[on], gap[on], alike[on], mixed[on], persons[on])
 
         def within() -> Iterator[pa.RecordBatch]:
-            where, row, first, count, members, cell = cells(np.arange(n))
-            years, at = np.unique(part["census"][members], return_inverse=True)
-            met = np.zeros((len(row), len(years)), dtype=np.int32)  # ids of each cell by census
-            np.add.at(met, (cell, at), 1)
-            born = part["birth"][row]
-            hi = np.where(whole[row], np.searchsorted(block[row], block[row], "right"), np.where(born > 0, np.searchsorted(where, where + NEAR, "right"), 0))
-            alike_ids, mixed_ids, found = met.astype(np.int64), met.astype(np.int64), []
-            for k, other in sliced(np.arange(len(row)) + 1, hi, most // 4):
-                gap = np.abs(born[k] - born[other])
-                some = (born[k] == 0) | (born[other] == 0)
-                on = some | (gap <= NEAR) | (gap <= 10) & ((born[k] % 5 == 0) | (born[other] % 5 == 0))
-                k, other, some, gap = k[on], other[on], some[on], gap[on]
-                if not len(k):
-                    continue
-                alike, mixed = alikes(text, code[row[k]], code[row[other]])
-                on = (alike > 0) | mixed
-                k, other, alike, mixed, some, gap = k[on], other[on], alike[on], mixed[on], some[on], gap[on]
-                # A record without year counts only for others without.
-                for x, y in ((k, other), (other, k)):
-                    counts = (born[x] == 0) | ~some & (gap <= NEAR)
-                    np.add.at(mixed_ids, x[counts], met[y[counts]])
-                    counts &= alike > 0
-                    np.add.at(alike_ids, x[counts], met[y[counts]])
-                found.append((k, other, alike, mixed))
-            others, others_mixed = (x.sum(axis=1) * (1 - 1 / np.maximum(1, x.max(axis=1))) for x in (alike_ids, mixed_ids))
-            # Records of one cell have one spelling and year.
-            own = np.flatnonzero((count > 1) & (part["kind"][row] == 3))
-            found.append((own, own, np.ones(len(own)), np.zeros(len(own), dtype=bool)))
-            for k, other, alike, mixed in found:
-                dense = np.where(alike > 0, np.maximum(others[k], others[other]), np.maximum(others_mixed[k], others_mixed[other]))
-                on = promising(dense, same[row[k]] == same[row[other]])
-                k, other, alike, mixed, dense = k[on], other[on], alike[on], mixed[on], dense[on]
-                pair, i = _spread(first[k], first[k] + count[k], np.arange(len(k)))
-                lo = np.where(k[pair] == other[pair], i + 1, first[other[pair]])
-                for q, j in sliced(lo, first[other[pair]] + count[other[pair]]):
-                    yield from judged(members[i[q]], members[j], dense[pair[q]], alike[pair[q]], mixed[pair[q]])
+            at = block.astype(np.int64) * 8192
+            years, index = at + lo, np.arange(n)
+            near = np.where(dated, np.searchsorted(years, at + hi + NEAR, "right"), index + 1)
+            found = []
+            count = np.zeros((2, len(bits), n), dtype=np.int32)
+            for k, j in sliced(index + 1, np.minimum(near, ends), index):
+                ok = sexed(k, j) & (cell[k] != cell[j])
+                k, j = k[ok], j[ok]
+                alike, mixed = alikes(text, code[k], code[j])
+                ok = (alike > 0) | mixed
+                k, j, alike, mixed = k[ok], j[ok], alike[ok], mixed[ok]
+                for c, b in enumerate(bits):
+                    for x, y in ((k, j), (j, k)):
+                        has = (met[y] >> b & 1) > 0
+                        count[1, c] += np.bincount(x[has], minlength=n).astype(np.int32)
+                        has &= alike > 0
+                        count[0, c] += np.bincount(x[has], minlength=n).astype(np.int32)
+                found.append((k, j, alike, mixed))
+            # Without a year a cell meets all of its block under kind 1, and with a rounded one those within ten years.
+            first = kind == 1
+            wide = np.where(dated, np.searchsorted(years, at + hi + ROUNDED, "right"), ends)
+            lone = index[first]
+            for k, j in sliced(np.maximum(near, index + 1)[lone], np.minimum(wide, ends)[lone], lone):
+                ok = sexed(k, j) & (cell[k] != cell[j]) & ((met[k] & met[j]) == 0) & (ten[k] | ~dated[k])
+                k, j = k[ok], j[ok]
+                alike, mixed = alikes(text, code[k], code[j])
+                ok = alike > 0
+                found.append((k[ok], j[ok], alike[ok], mixed[ok]))
+            for k, j, alike, mixed in found:
+                ok = (met[k] & met[j]) == 0
+                ok &= (kind[k] != 3) | (place[k] != place[j]) | (place[k] == 0)  # pairs of one place meet under the other kinds
+                ok &= (np.maximum(k, j) >= fresh) & (np.maximum(k, j) < upto)
+                k, j, alike, mixed = k[ok], j[ok], alike[ok], mixed[ok]
+                others, sort = np.zeros(len(k), dtype=np.int32), (alike == 0).astype(np.int8)
+                for c, b in enumerate(bits):
+                    for x, y in ((k, j), (j, k)):
+                        others = np.maximum(others, count[sort, c, x] - (met[y] >> b & 1))
+                yield from told(k, j, gaps(k, j), alike, mixed, others)
 
         yield from crossed() if two_sided else within()
 
@@ -322,15 +316,18 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, small: int, pro
             key = held.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1], "left"))
             if cut:  # whole blocks
-                yield from pairs(held.slice(0, cut), fresh)
+                yield from pairs(held.slice(0, cut), fresh, cut)
                 held, fresh = held.slice(cut), max(0, fresh - cut)
-            if held.num_rows >= rows:  # one large block: only its last years go on
-                yield from pairs(held, fresh)
-                birth = fit_parts(held.column("fit").to_numpy())["birth"]
-                stay = int(np.searchsorted(birth, birth[-1] - NEAR, "left"))
-                held = held.slice(stay)
-                fresh = held.num_rows
+            if held.num_rows >= 2 * rows:
+                # One large block: its last years wait for what follows, and those before them and the cells without year go on.
+                lo = fit_parts(held.column("fit").to_numpy())["lo"]
+                wait = int(np.searchsorted(lo, lo[-1] - 2 * NEAR, "left"))
+                if wait > fresh:
+                    yield from pairs(held, fresh, wait)
+                    stay = np.flatnonzero((lo == 0) | (lo >= lo[-1] - 2 * NEAR - ROUNDED - SPAN))
+                    fresh = int(np.searchsorted(stay, wait, "left"))
+                    held = held.take(pa.array(stay))
         if held is not None and held.num_rows:
-            yield from pairs(held, fresh)
+            yield from pairs(held, fresh, held.num_rows)
 
     return run

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from kinweave.llm.fold import folded
 
 #: Endings that make a patronymic, folded; with their shortened and foreign forms. Fixed values.
 _SON, _DAUGHTER = ("sson", "son", "ssen", "sen", "ss", "s"), ("dottir", "dotter", "datter", "dottr", "dtr", "dott", "d")
+#: Factor of the likeness of two names of which only one has a middle name.
+NO_MIDDLE = 0.7
 #: Words beside a name that don't belong to it. Fixed values.
 _BESIDE = frozenset({"yngri", "eldri", "gamli", "gamla", "yngsti", "elsti", "fra", "baenum", "jr", "sr", "hr", "fru", "jomfru", "madame", "sgr", "md", "mad", "mme", "mr"})
 
@@ -142,13 +145,14 @@ def sounded(token: str) -> str:
 def misspelt(a: str, b: str, known: frozenset[str] = frozenset()) -> bool:
     """Whether two tokens may be one with slips: Jaro-Winkler 0.84 at least, and one edit, or two in six letters.
 
-    Two tokens that are both `known`, established as names of their own, are no slips of each other.
+    Two tokens that are both `known`, established as names of their own, are no slips of each other unless they sound alike.
     """
-    if a in known and b in known:
-        return False
+    settled = a in known and b in known
     a, b = sounded(a), sounded(b)
     if a == b:
         return True
+    if settled:
+        return False
     n = max(len(a), len(b))
     if n < 4 or abs(len(a) - len(b)) > 2 or len(set(a) ^ set(b)) > 4:  # an edit changes two letters of the set at most
         return False
@@ -161,6 +165,7 @@ class CallNames:
     def __init__(self, pairs: list[tuple[str, str]], known: frozenset[str] = frozenset()):
         self.of: dict[str, set[str]] = {}
         self.known = known
+        self.sorted: list[str] | None = None
         self.seen: dict[str, tuple[tuple[str, ...], bool]] = {}
         for call, full in pairs:
             self.of.setdefault(folded(call), set()).add(folded(full))
@@ -178,7 +183,21 @@ class CallNames:
         return got
 
     def roots(self, token: str) -> set[str]:
-        return self.of.get(token.rstrip(".:"), set())
+        """The names that a token may be a call name of: those listed, and for one in -si or -sa the established ones of its stem."""
+        t = token.rstrip(".:")
+        found = self.of.get(t, set())
+        return found | self._stemmed(t) if len(t) > 4 and t[-2:] in ("si", "sa") else found
+
+    def _stemmed(self, token: str) -> set[str]:
+        if self.sorted is None:
+            self.sorted = sorted(self.known)
+        stem, out = token[:-2], set()
+        for x in self.sorted[bisect_left(self.sorted, stem) :]:
+            if not x.startswith(stem):
+                break
+            if len(x) > len(token) and not stem_of_patronymic(x)[1]:
+                out.add(x)
+        return out
 
     def alike(self, a: str, b: str) -> bool:
         if b in self.of.get(a, ()) or a in self.of.get(b, ()):
@@ -201,19 +220,20 @@ def given_alike(a: str, b: str, calls: CallNames) -> float:
 
 
 def last_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
-    """How alike two last names are, and whether one is a patronymic and the other none."""
+    """How alike two last names are, and whether one of them is no patronymic, which a person may have beside one or change."""
     x, y = a.rstrip(".:"), b.rstrip(".:")
     if x == y:
         return 1.0, False
     (sa, ka), (sb, kb) = stem_of_patronymic(a), stem_of_patronymic(b)
     if ka and kb:
-        if ka != kb:
-            return 0.0, False
-        return (1.0 if sa == sb else 0.0 if x in calls.known and y in calls.known else 0.93 if misspelt(sa, sb) else 0.0), False
+        if ka != kb:  # a family name in -sen beside a patronymic
+            return 0.0, (ka == "Karl" and x.endswith("sen")) or (kb == "Karl" and y.endswith("sen"))
+        settled = x in calls.known and y in calls.known and sounded(sa) != sounded(sb)
+        return (1.0 if sa == sb else 0.0 if settled else 0.93 if misspelt(sa, sb) else 0.0), False
     short, long, marked = (x, y, a) if len(x) < len(y) else (y, x, b)
     if long.startswith(short) and marked != short:
         return 0.92, False
-    return (0.93 if misspelt(x, y, calls.known) else 0.0), bool(ka) != bool(kb)
+    return (0.93 if misspelt(x, y, calls.known) else 0.0), not (ka and kb)
 
 
 def name_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
@@ -227,10 +247,10 @@ def name_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
         return 0.0, False
     if s == t:
         return 1.0, False
-    if settled_a and settled_b and s[0] != t[0] and not calls.alike(s[0], t[0]):
-        return 0.0, False  # two established given names in their place
     if "".join(s) == "".join(t) or sorted(s) == sorted(t):
         return 1.0, False
+    if settled_a and settled_b and sounded(s[0]) != sounded(t[0]) and not calls.alike(s[0], t[0]):
+        return 0.0, False  # two established given names in their place
     best, swapped = _in_order(s, t, calls)
     if best == 0.0 and not (settled_a and settled_b) and len(s) > 1 and len(t) > 1:
         for u, v in ((s[1:] + s[:1], t), (s, t[1:] + t[:1])):
@@ -253,5 +273,5 @@ def _in_order(s: tuple[str, ...], t: tuple[str, ...], calls: CallNames) -> tuple
     if len(s) > 2 and len(t) > 2 and not any(given_alike(x, y, calls) for x in s[1:-1] for y in t[1:-1]):
         return 0.0, False
     if first and last:
-        return first * last, False
+        return first * last * (1.0 if (len(s) > 2) == (len(t) > 2) else NO_MIDDLE), False
     return 0.0, bool(first == 1.0 and mixed)

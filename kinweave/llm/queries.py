@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return link_tables(table(spark, root, CENSUS), table(spark, root, "rule_based_predictions"), table(spark, root, "gaelunofn"))
+    return link_tables(table(spark, root, CENSUS), table(spark, root, "rule_based_predictions"), table(spark, root, "gaelunofn"), table(spark, root, "manntol_baeir"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +36,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return name_variants(table(spark, root, CENSUS), table(spark, root, "gaelunofn"))
+    return name_variants(table(spark, root, CENSUS), table(spark, root, "gaelunofn"), table(spark, root, "manntol_baeir"))
 
 
 def p5_splits(spark: SparkSession, root: str) -> DataFrame:

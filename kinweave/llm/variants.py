@@ -6,32 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinweave.llm.blocks import ROWS, compared, key_rows, records
+from kinweave.llm.blocks import ROWS, Met, compared, key_rows
+from kinweave.llm.cells import CELL, cells, censuses_of, parishes
 from kinweave.llm.components import propagate_labels
 from kinweave.llm.names import CallNames, tokens
-from kinweave.llm.terms import nfc
 from kinweave.runtime import Scratch, small_side
 
-#: Spellings of the two sexes, folded. Fixed values.
-SEXES = {"karl": 1, "kk": 1, "kona": 2, "kvk": 2}
-_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
-
-
-def written(value: Column) -> Column:
-    """A name in NFC and lower case with single spaces; NULL where it is missing (NULL, empty, `NaN`)."""
-    v = F.trim(F.regexp_replace(F.lower(nfc(value)), _SPACE, " "))
-    return F.when(value.isNull() | value.isin("", "NaN") | (v == ""), None).otherwise(v)
-
-
-def sex(value: Column) -> Column:
-    v = F.lower(F.trim(value))
-    out = F.lit(0)
-    for text, code in SEXES.items():
-        out = F.when(v == text, code).otherwise(out)
-    return F.coalesce(out, F.lit(0))
-
 
 def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, int] = {}
@@ -68,72 +50,116 @@ def call_names(listed: DataFrame, known: frozenset[str] = frozenset(), limit: in
     return CallNames([(r[0], r[1]) for r in got], known)
 
 
-_EDGE = [f"{c}_{k}" for k in (1, 2) for c in ("id", "census", "person", "same")] + ["equal"]
-
-
-def _judged(rare: int):
-    """Which pairs may be one person's, by how alike the names are and how far the years of birth lie apart."""
-
-    def judge(one, two, census_1, census_2, kind, gap, rounded, dense, alike, mixed, equal, curated, about) -> Iterator[pa.RecordBatch]:
-        few, known = dense <= rare, gap >= 0
-        near = known & (gap <= 2)
-        keep = np.where(
-            equal, few & known & (gap <= 1),
-            np.where(curated, (alike > 0) | mixed,
-            np.where(kind == 3, (alike >= 0.85) & known & ((gap <= 1) & few | near & (dense == 0)),
-            np.where(near, (alike >= 0.8) | (mixed & few), (alike >= 0.92) & (~known | rounded) & few))),
-        )
-        if not keep.any():
-            return
-        person_1, person_2, same_1, same_2 = about(keep)
-        sides = [(one[keep], census_1[keep], person_1, same_1), (two[keep], census_2[keep], person_2, same_2)]
-        turn = sides[0][0] > sides[1][0]
-        left = [np.where(turn, y, x) for x, y in zip(*sides)]
-        right = [np.where(turn, x, y) for x, y in zip(*sides)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*left, *right, equal[keep])], names=_EDGE)
-
-    return judge
+#: Log-odds of a pair at one place and away from one, and what the years between the years of birth take from it: 0, 1, 2,
+#: rounded, unknown.
+HERE, GAPS = 4.0, (0.0, 0.7, 1.5, 2.5, 2.0)
+AWAY, AWAY_GAPS = 1.95, (0.0, 0.9, 2.5, np.inf, np.inf)
+#: The same for two places of one parish.
+BESIDE, BESIDE_GAPS = 3.5, (0.0, 0.7, 1.5, np.inf, np.inf)
+#: By likeness of the names, from the least on (below 0.8 one has no middle name, below 0.84 one is short): what it costs at one place and
+#: what each other person near in years takes, and what it costs away from one.
+LEVELS = (0.0, 0.8, 0.84, 0.99)
+COST, OTHER, AWAY_COST = (2.0, 1.0, 0.5, 0.0), (1.5, 1.0, 0.6, 0.6), (np.inf, np.inf, 0.3, 0.0)
+#: The same for a last name of another kind.
+MIXED_COST, MIXED_OTHER, AWAY_OTHER, BESIDE_OTHER = 1.5, 1.8, 1.0, 0.2
+#: What is unlikely on its own, a name cut or of another kind with years rounded or gone.
+DOUBTFUL = 3.0
+EDGE = ["a", "b", "met_a", "met_b", "equal", "odds"]
+
+
+def odds(x: Met) -> np.ndarray:
+    """Log-odds that two cells are one person if no other cell contests it."""
+    g = np.where(x.gap < 0, 4, np.where(x.gap > 2, 3, x.gap))
+    level = np.searchsorted(np.array(LEVELS), x.alike, "right") - 1
+    bare = x.alike == 0
+    cost, each = np.where(bare, MIXED_COST, np.array(COST)[level]), np.where(bare, MIXED_OTHER, np.array(OTHER)[level])
+    more = np.where(level < 2, x.others, np.maximum(0, x.others - 1))
+    here = HERE - np.array(GAPS)[g] - cost - each * more - DOUBTFUL * ((level == 0) & (g > 2))
+    least = np.where(bare, np.inf, np.array(AWAY_COST)[level])
+    away = AWAY - np.array(AWAY_GAPS)[g] - least - AWAY_OTHER * x.others
+    beside = BESIDE - np.array(BESIDE_GAPS)[g] - least - BESIDE_OTHER * x.others
+    return np.where(x.here, here, np.where(x.parish, beside, away))
+
+
+def _judged(x: Met) -> Iterator[pa.RecordBatch]:
+    value = odds(x)
+    keep = value > -1
+    if keep.any():
+        turn = (x.one > x.two)[keep]
+        one, two, met_1, met_2 = (y[keep] for y in (x.one, x.two, x.met_1, x.met_2))
+        sides = [np.where(turn, two, one), np.where(turn, one, two), np.where(turn, met_2, met_1), np.where(turn, met_1, met_2)]
+        yield pa.RecordBatch.from_arrays([pa.array(y) for y in (*sides, x.equal[keep], value[keep])], names=EDGE)
+
+
+def contested(edges: DataFrame, censuses: int) -> DataFrame:
+    """edges with p: the share of a pair's odds among those of its cells with any cells of the same censuses, and with none.
+
+    A cell is one person, who is in a census once: of the partners of a cell that are in one census, one at most is right.
+    """
+    w = F.exp("odds")
+    ends = edges.select("a", "b", F.col("a").alias("x"), F.col("met_b").alias("met"), w.alias("w")).unionByName(edges.select("a", "b", F.col("b").alias("x"), F.col("met_a").alias("met"), w.alias("w")))
+    has = [F.col("met").bitwiseAND(1 << c) != 0 for c in range(censuses)]
+    sums = ends.select("*", *[F.sum(F.when(h, F.col("w")).otherwise(0.0)).over(Window.partitionBy("x")).alias(f"s{c}") for c, h in enumerate(has)])
+    most = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(h, F.col(f"s{c}")).otherwise(0.0) for c, h in enumerate(has)])
+    p = sums.groupBy("a", "b").agg(F.min(F.col("w") / (1 + most)).alias("p"))
+    return edges.join(p, ["a", "b"])
 
 
-def name_variants(rows: DataFrame, called: DataFrame, rare: int = 9) -> DataFrame:
+def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None = None, least: float = 0.5, steps: tuple[float, ...] = (0.75, 0.9)) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: distinct pairs of records of one person under two spellings of `nafn`.
 
-    rows: id, manntal, nafn, faedingarar, kyn, bi_baer, bi_einstaklingur; called: gaelunafn, fornafn. A spelling is `nafn` in
+    rows: id, manntal, nafn, faedingarar, kyn, bi_baer, bi_einstaklingur; called: gaelunafn, fornafn; places: bi_baer, bi_sokn (where given, movers within a parish count for more). A spelling is `nafn` in
     NFC and lower case with single spaces. Records without id, census or `nafn` have no pair; a missing or zero year of
     birth, place or sex only leaves a record out of the blocks that need it. Repeated rows give a pair once; other columns
     are ignored.
 
-    Blocks are made of phonetic codes of the tokens with the place or the years of birth, and compared after one exchange
-    (blocks.py): names by Jaro-Winkler and edits, call names, cut-off forms and order (names.name_alike). Two tokens that
-    are both established as names are two names. Records of different curated persons are never one. Away from one place,
-    and where years of birth are rounded or gone, only names count to which at most `rare` records of other persons of
-    the years are alike, since more can't be told apart; years two apart only if there is no other. Records without year meet
-    at one place only. Accepted pairs and records of one rare spelling make components; their members of different
-    censuses and spellings are the result. A component with two records of one census, or with two curated persons, holds
-    more than one person; of it only the pairs compared directly are kept.
+    Records become cells (cells.py), which meet in blocks of phonetic codes of their tokens with the place or the years of
+    birth (blocks.py): names are compared by Jaro-Winkler and edits, call names, cut-off forms and order
+    (names.name_alike). Two tokens that are both established as names are two names. Odds weigh the likeness of
+    the names, the place, the years and how many other persons it might be; a pair is accepted if its share among all pairs
+    that exclude each other is `least` or more. Accepted pairs make components, and records of a component in
+    different censuses and spellings are the result. A component with two records of one census, or with two curated persons,
+    holds more than one person: it is cut at its weaker pairs, at each of `steps` in turn, and at last only the pairs
+    compared directly are kept. Curated persons only reject: records of two of them are never one.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "variants")
-    base = records(rows, sex, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)))
-    calls = call_names(called, established(base.select("name")))
-    blocked = base.mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
-    side = "id_{0} bigint, census_{0} int, person_{0} bigint, same_{0} bigint"
-    found = blocked.mapInArrow(compared(calls, _judged(rare), False, 9, lambda dense, equal: ~equal | (dense <= rare)), f"{side.format(1)}, {side.format(2)}, equal boolean")
-    edges = scratch.keep(found.groupBy("id_1", "id_2").agg(*[F.min(c).alias(c) for c in _EDGE if not c.startswith("id")]))
-    direct = edges.where("not equal")
-    touched = small_side(direct.select(F.col("id_1").alias("id")).union(direct.select("id_2")).distinct())
-    bridges = edges.where("equal")
-    bridges = bridges.join(touched.select(F.col("id").alias("id_1")), "id_1", "left_semi").unionByName(bridges.join(touched.select(F.col("id").alias("id_2")), "id_2", "left_semi"))
-    links = scratch.keep(direct.unionByName(bridges.select(*direct.columns)))
-    joined = propagate_labels(links, "id_1", "id_2")
-    ends = [links.select(*[F.col(f"{c}_{k}").alias(c) for c in ("id", "census", "person", "same")]) for k in (1, 2)]
-    members = scratch.keep(ends[0].unionByName(ends[1]).distinct().join(joined.withColumnRenamed("node", "id"), "id"))
-    direct = direct.select("id_1", "id_2")
-    clash = members.groupBy("component", "census").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("component")
-    people = members.where("person <> 0").groupBy("component").agg(F.min("person").alias("x"), F.max("person").alias("y")).where("x <> y").select("component")
-    clash = clash.union(people).distinct()
-    sound = members.join(small_side(clash), "component", "left_anti")
-    x, y = sound.alias("x"), sound.alias("y")
-    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.same") != F.col("y.same")))
-    pairs = pairs.where("x.census <> y.census").select(F.col("x.id").alias("id_1"), F.col("y.id").alias("id_2"))
-    return pairs.unionByName(direct).distinct()
+    censuses = censuses_of(rows)
+    made, members = cells(rows, censuses, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)), scratch, None if places is None else parishes(places))
+    made = scratch.keep(made.where("not plural"))
+    calls = call_names(called, established(made.select("name")))
+    blocked = made.select(*CELL).mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
+    found = blocked.mapInArrow(compared(calls, _judged, False), "a bigint, b bigint, met_a int, met_b int, equal boolean, odds double")
+    edges = scratch.keep(found.groupBy(*EDGE[:-1]).agg(F.max("odds").alias("odds")))
+    accepted = scratch.keep(contested(edges, len(censuses)).where(F.col("p") >= least).select("a", "b", "equal", "p"))
+    # Components without two spellings have no pair.
+    labels = propagate_labels(accepted, "a", "b")
+    return _pairs(accepted, labels, members, scratch, steps)
+
+
+def _pairs(accepted: DataFrame, labels: DataFrame, members: DataFrame, scratch: Scratch, steps: tuple[float, ...]) -> DataFrame:
+    found = []
+    for least in (*steps, None):
+        whole = scratch.keep(members.join(labels.select(F.col("node").alias("cell"), "component"), "cell"))
+        person = F.nullif("person", F.lit(0))
+        bad = whole.groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("census").alias("m"), F.min(person).alias("x"), F.max(person).alias("y"), F.min("spelt").alias("s"), F.max("spelt").alias("t"))
+        bad = scratch.keep(bad.where("n > m or x <> y or s = t").select("component", (F.col("s") == F.col("t")).alias("plain")))
+        sound = whole.join(small_side(bad), "component", "left_anti")
+        x, y = sound.alias("x"), sound.alias("y")
+        pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.spelt") != F.col("y.spelt")) & (F.col("x.census") != F.col("y.census")))
+        found.append(pairs.select(F.col("x.id").alias("id_1"), F.col("y.id").alias("id_2")))
+        clash = bad.where("not plain").select("component")
+        of = whole.join(small_side(clash), "component", "left_semi").select("cell").distinct()
+        accepted = accepted.join(of.withColumnRenamed("cell", "a"), "a", "left_semi")
+        if least is None:
+            break
+        accepted = scratch.keep(accepted.where(F.col("p") >= least))
+        labels = propagate_labels(accepted, "a", "b")
+    m = [members.select(*[F.col(c).alias(f"{c}_{k}") for c in members.columns]) for k in (1, 2)]
+    ends = accepted.where("not equal").join(m[0], F.col("a") == F.col("cell_1")).join(m[1], F.col("b") == F.col("cell_2"))
+    ends = ends.where("spelt_1 <> spelt_2 and census_1 <> census_2 and (person_1 = person_2 or person_1 = 0 or person_2 = 0)")
+    found.append(ends.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
