@@ -12,7 +12,7 @@ from kinweave.llm.blocks import ROWS, Met, compared, key_rows
 from kinweave.llm.cells import CELL, cells, censuses_of, parishes
 from kinweave.llm.components import propagate_labels
 from kinweave.llm.names import CallNames, tokens
-from kinweave.runtime import Scratch, small_side
+from kinweave.runtime import Scratch
 
 
 def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +92,16 @@ def _judged(x: Met) -> Iterator[pa.RecordBatch]:
 
 
 def contested(edges: DataFrame, censuses: int) -> DataFrame:
-    """edges with p: the share of a pair's odds among those of its cells with any cells of the same censuses, and with none.
+    """(a, b, equal, p): the share of a pair's odds among those of its cells with any cells of the same censuses, and with none.
 
     A cell is one person, who is in a census once: of the partners of a cell that are in one census, one at most is right.
     """
-    w = F.exp("odds")
-    ends = edges.select("a", "b", F.col("a").alias("x"), F.col("met_b").alias("met"), w.alias("w")).unionByName(edges.select("a", "b", F.col("b").alias("x"), F.col("met_a").alias("met"), w.alias("w")))
+    w = F.exp("odds").alias("w")
+    ends = edges.select("a", "b", "equal", F.col("a").alias("x"), F.col("met_b").alias("met"), w).unionByName(edges.select("a", "b", "equal", F.col("b").alias("x"), F.col("met_a").alias("met"), w))
     has = [F.col("met").bitwiseAND(1 << c) != 0 for c in range(censuses)]
     sums = ends.select("*", *[F.sum(F.when(h, F.col("w")).otherwise(0.0)).over(Window.partitionBy("x")).alias(f"s{c}") for c, h in enumerate(has)])
     most = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(h, F.col(f"s{c}")).otherwise(0.0) for c, h in enumerate(has)])
-    p = sums.groupBy("a", "b").agg(F.min(F.col("w") / (1 + most)).alias("p"))
-    return edges.join(p, ["a", "b"])
+    return sums.groupBy("a", "b").agg(F.max("equal").alias("equal"), F.min(F.col("w") / (1 + most)).alias("p"))
 
 
 def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None = None, least: float = 0.5, steps: tuple[float, ...] = (0.75, 0.9)) -> DataFrame:
@@ -125,41 +124,44 @@ def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None =
     spark = rows.sparkSession
     scratch = Scratch(spark, "variants")
     censuses = censuses_of(rows)
-    made, members = cells(rows, censuses, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)), scratch, None if places is None else parishes(places))
-    made = scratch.keep(made.where("not plural"))
+    made = cells(rows, censuses, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)), scratch, None if places is None else parishes(places)).where("not plural")
     calls = call_names(called, established(made.select("name")))
     blocked = made.select(*CELL).mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
     found = blocked.mapInArrow(compared(calls, _judged, False), "a bigint, b bigint, met_a int, met_b int, equal boolean, odds double")
     edges = scratch.keep(found.groupBy(*EDGE[:-1]).agg(F.max("odds").alias("odds")))
     accepted = scratch.keep(contested(edges, len(censuses)).where(F.col("p") >= least).select("a", "b", "equal", "p"))
-    # Components without two spellings have no pair.
-    labels = propagate_labels(accepted, "a", "b")
-    return _pairs(accepted, labels, members, scratch, steps)
-
-
-def _pairs(accepted: DataFrame, labels: DataFrame, members: DataFrame, scratch: Scratch, steps: tuple[float, ...]) -> DataFrame:
     found = []
-    for least in (*steps, None):
-        whole = scratch.keep(members.join(labels.select(F.col("node").alias("cell"), "component"), "cell"))
-        person = F.nullif("person", F.lit(0))
-        bad = whole.groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("census").alias("m"), F.min(person).alias("x"), F.max(person).alias("y"), F.min("spelt").alias("s"), F.max("spelt").alias("t"))
-        bad = scratch.keep(bad.where("n > m or x <> y or s = t").select("component", (F.col("s") == F.col("t")).alias("plain")))
-        sound = whole.join(small_side(bad), "component", "left_anti")
+    for step in (*steps, None):
+        # Only cells that a chain of pairs joins to one of another spelling have a pair.
+        labels = propagate_labels(accepted, "a", "b").select(F.col("node").alias("cell"), "component")
+        whole = scratch.keep(made.join(labels, "cell").select("cell", "component", "met", "spelt", "person_lo", "person_hi", "ids", "bits", "persons"))
+        each = whole.groupBy("component").agg(
+            F.sum(F.bit_count("met")).alias("n"), F.bit_count(F.expr("bit_or(met)")).alias("m"), F.min(F.nullif("person_lo", F.lit(0))).alias("x"), F.max(F.nullif("person_hi", F.lit(0))).alias("y"),
+            F.min("spelt").alias("s"), F.max("spelt").alias("t"),
+        ).where("s <> t")
+        each = each.select("component", (F.col("n") > F.col("m")) | F.coalesce(F.col("x") != F.col("y"), F.lit(False)).alias("clash")).toDF("component", "clash")
+        whole = scratch.keep(whole.join(each, "component"))
+        sound = whole.where("not clash")
         x, y = sound.alias("x"), sound.alias("y")
-        pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.spelt") != F.col("y.spelt")) & (F.col("x.census") != F.col("y.census")))
-        found.append(pairs.select(F.col("x.id").alias("id_1"), F.col("y.id").alias("id_2")))
-        clash = bad.where("not plain").select("component")
-        of = whole.join(small_side(clash), "component", "left_semi").select("cell").distinct()
-        accepted = accepted.join(of.withColumnRenamed("cell", "a"), "a", "left_semi")
-        if least is None:
-            break
-        accepted = scratch.keep(accepted.where(F.col("p") >= least))
-        labels = propagate_labels(accepted, "a", "b")
-    m = [members.select(*[F.col(c).alias(f"{c}_{k}") for c in members.columns]) for k in (1, 2)]
-    ends = accepted.where("not equal").join(m[0], F.col("a") == F.col("cell_1")).join(m[1], F.col("b") == F.col("cell_2"))
-    ends = ends.where("spelt_1 <> spelt_2 and census_1 <> census_2 and (person_1 = person_2 or person_1 = 0 or person_2 = 0)")
-    found.append(ends.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2")))
+        cells_met = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.cell") < F.col("y.cell")) & (F.col("x.spelt") != F.col("y.spelt")))
+        found.append(_records(cells_met))
+        accepted = accepted.join(whole.where("clash").select(F.col("cell").alias("a")), "a", "left_semi")
+        if step is not None:
+            accepted = scratch.keep(accepted.where(F.col("p") >= step))
+            if accepted.isEmpty():
+                break
+    else:
+        x, y = whole.where("clash").alias("x"), whole.where("clash").alias("y")
+        direct = accepted.where("not equal").join(x, F.col("a") == F.col("x.cell")).join(y, F.col("b") == F.col("y.cell"))
+        found.append(_records(direct))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
+
+
+def _records(pairs: DataFrame) -> DataFrame:
+    """(id_1, id_2) of the records of pairs of cells x and y, but those of one census or of two persons."""
+    one = pairs.select(F.explode(F.arrays_zip(F.col("x.ids").alias("id"), F.col("x.bits").alias("bit"), F.col("x.persons").alias("person"))).alias("m"), F.arrays_zip(F.col("y.ids").alias("id"), F.col("y.bits").alias("bit"), F.col("y.persons").alias("person")).alias("others"))
+    two = one.select("m", F.explode("others").alias("o")).where("m.id <> o.id and m.bit <> o.bit and (m.person = o.person or m.person = 0 or o.person = 0)")
+    return two.select(F.least("m.id", "o.id").alias("id_1"), F.greatest("m.id", "o.id").alias("id_2"))
