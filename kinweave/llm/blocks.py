@@ -1,6 +1,6 @@
 """Blocks of cells that share a key of phonetic codes, compared where they meet after one exchange.
 
-A cell (cells.py) enters several blocks. A row of a block is (key, fit, cell, name): the key is a hash of its text; fit
+A cell (cells.py) enters several blocks. A row of a block is (key, fit, cell, spelt, words): the key is a hash of its text; fit
 holds years of birth, parish and place (12 and 16 bits of them), censuses, sex, kind of key and side in one number, its order being that of the years.
 A task holds no more of a block than a window of years and the cells without year. Names are compared once for each two
 spellings that meet in a chunk.
@@ -8,32 +8,25 @@ spellings that meet in a chunk.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 from kinweave.llm.cells import CENSUSES, NEAR
-from kinweave.llm.names import CallNames, name_alike, phonetic, stem_of_patronymic, tokens
+from kinweave.llm.names import CallNames, phonetic, stem_of_patronymic, words_alike
 
 #: Years that a year of birth rounded down to the decade may be off.
 ROUNDED = 10
 #: Most years between the first and last year of birth of a cell that a row holds.
 SPAN = 15
-ROWS = "key bigint, fit bigint, cell bigint, name string"
-_NAMES = ["key", "fit", "cell", "name"]
+ROWS = "key bigint, fit bigint, cell bigint, spelt bigint, words string"
+_NAMES = ["key", "fit", "cell", "spelt", "words"]
 _MET = (1 << CENSUSES) - 1
 _U = np.uint64
 
 
-@lru_cache(maxsize=200_000)
-def plain_spelling(name: str) -> str:
-    return " ".join(unicodedata.normalize("NFC", name).lower().split())
-
-
 def fit_of(lo, hi, parish, place, met, sex, kind, side) -> np.ndarray:
     return (lo << 51) | (np.minimum(hi - lo, SPAN) << 47) | (parish << 35) | (place << 19) | (met << 5) | (sex << 3) | (kind << 1) | side
 
@@ -71,10 +64,10 @@ class _Seeds:
             _seeds.clear()
         self.digest, self.calls, self.known = xxhash.xxh64_intdigest, calls, _seeds.setdefault(mark, {})
 
-    def of(self, name: str) -> tuple[list[int], list[int], list[int]]:
-        got = self.known.get(name)
+    def of(self, words: str) -> tuple[list[int], list[int], list[int]]:
+        got = self.known.get(words)
         if got is None:
-            t = tokens(name)
+            t = words.split(" ") if words else []
             one, two, three = set(), set(), set()
             orders = [(t[0], t[-1])] if len(t) > 1 else [(t[0], "")] if t else []
             if len(t) > 1 and not stem_of_patronymic(t[-1])[1]:
@@ -92,7 +85,7 @@ class _Seeds:
             got = tuple([self.digest(x) for x in sorted(s)] for s in (one, two, three))
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[name] = got
+            self.known[words] = got
         return got
 
 
@@ -113,11 +106,11 @@ def key_rows(calls: CallNames, side: int, bands: str):
             names = b.column(1).dictionary_encode()
             code = names.indices.to_numpy(zero_copy_only=False)
             lists = [seeds.of(x) for x in names.dictionary.to_pylist()]
-            sexes, lo, hi, met = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (4, 5, 6, 7))
+            sexes, lo, hi, met = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (5, 6, 7, 8))
             hi = np.minimum(hi, lo + SPAN)
-            parish = np.where(b.column(3).is_null().to_numpy(zero_copy_only=False), 0, b.column(3).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) % 4_093 + 1)
-            placed = ~b.column(2).is_null().to_numpy(zero_copy_only=False)
-            place = b.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parish = np.where(b.column(4).is_null().to_numpy(zero_copy_only=False), 0, b.column(4).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) % 4_093 + 1)
+            placed = ~b.column(3).is_null().to_numpy(zero_copy_only=False)
+            place = b.column(3).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             first, last = (lo - NEAR * (bands == "both")) // 8, (hi + NEAR * (bands != "own")) // 8
             keys, rows, kinds = [], [], []
             for kind in (1, 2, 3):
@@ -143,7 +136,7 @@ def key_rows(calls: CallNames, side: int, bands: str):
             where = np.where(placed, place % 65_521 + 1, 0)[row]
             fit = fit_of(lo[row], hi[row], parish[row], where, met[row], sexes[row], kind, side)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(0).take(take), b.column(1).take(take)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(0).take(take), b.column(2).take(take), b.column(1).take(take)], names=_NAMES)
 
     return run
 
@@ -179,12 +172,22 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
     alike as much as the pair's, in two-sided blocks, on side 0 only), in the census that has most of them, less the pair's own.
     """
 
-    def alikes(text: list[str], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(x):
-            return np.zeros(0), np.zeros(0, dtype=bool)
-        once, back = np.unique(x.astype(np.int64) * len(text) + y, return_inverse=True)
-        got = [name_alike(text[v // len(text)], text[v % len(text)], calls) for v in once.tolist()]
-        return np.array([g[0] for g in got])[back], np.array([g[1] for g in got])[back]
+    def marked(text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        marks, of = [calls.marks(x) for x in text], {}
+        plain, first, last = zip(*marks)
+        return np.array(plain), *(np.array([of.setdefault(x, len(of)) for x in side]) for side in (first, last))
+
+    def alikes(text: list[str], marks: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(i, likeness, mixed) of the pairs of spellings that are alike or mixed."""
+        plain, first, last = marks
+        i = np.flatnonzero(~(plain[x] & plain[y]) | ((first[x] == first[y]) & (last[x] == last[y])))
+        if not len(i):
+            return i, np.zeros(0), np.zeros(0, dtype=bool)
+        once, back = np.unique(x[i].astype(np.int64) * len(text) + y[i], return_inverse=True)
+        got = [words_alike(text[v // len(text)], text[v % len(text)], calls) for v in once.tolist()]
+        alike, mixed = np.array([g[0] for g in got])[back], np.array([g[1] for g in got])[back]
+        on = (alike > 0) | mixed
+        return i[on], alike[on], mixed[on]
 
     def sliced(lo: np.ndarray, hi: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i[k], l) with lo[k] <= l < hi[k], some at a time."""
@@ -202,11 +205,11 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
         lo, hi, met, kind, place, parish, side, sex = (part[x] for x in ("lo", "hi", "met", "kind", "place", "parish", "side", "sex"))
         block = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
         ends = np.searchsorted(block, np.arange(block[-1] + 1), "right")[block]
-        names = t.column("name").combine_chunks().dictionary_encode()
+        names = t.column("words").combine_chunks().dictionary_encode()
         names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
         text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
-        spelt: dict[str, int] = {}
-        same = np.array([spelt.setdefault(plain_spelling(x), len(spelt)) for x in text], dtype=np.int64)[code]
+        marks = marked(text)
+        same = t.column("spelt").to_numpy()
         cell = t.column("cell").to_numpy()
         bits = [c for c in range(CENSUSES) if np.bitwise_or.reduce(met) >> c & 1]
         dated, ten = lo > 0, (lo == hi) & (lo % 10 == 0)
@@ -241,9 +244,8 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
                     gap = gaps(i, r)
                     ok = sexed(i, r) & ((gap <= NEAR) | np.where(lo[i] < lo[r], ten[i], ten[r])) & (cell[i] != cell[r])
                     i, r, gap = i[ok], r[ok], gap[ok]
-                    alike, mixed = alikes(text, code[i], code[r])
-                    ok = (alike > 0) | mixed
-                    i, r, gap, alike, mixed = i[ok], r[ok], gap[ok], alike[ok], mixed[ok]
+                    ok, alike, mixed = alikes(text, marks, code[i], code[r])
+                    i, r, gap = i[ok], r[ok], gap[ok]
                     if not len(i):
                         continue
                     order = np.lexsort((-alike, r))
@@ -270,9 +272,8 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
             for k, j in sliced(index + 1, np.minimum(near, ends), index):
                 ok = sexed(k, j) & (cell[k] != cell[j])
                 k, j = k[ok], j[ok]
-                alike, mixed = alikes(text, code[k], code[j])
-                ok = (alike > 0) | mixed
-                k, j, alike, mixed = k[ok], j[ok], alike[ok], mixed[ok]
+                ok, alike, mixed = alikes(text, marks, code[k], code[j])
+                k, j = k[ok], j[ok]
                 for c, b in enumerate(bits):
                     for x, y in ((k, j), (j, k)):
                         has = (met[y] >> b & 1) > 0
@@ -287,9 +288,8 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
             for k, j in sliced(np.maximum(near, index + 1)[lone], np.minimum(wide, ends)[lone], lone):
                 ok = sexed(k, j) & (cell[k] != cell[j]) & ((met[k] & met[j]) == 0) & (ten[k] | ~dated[k])
                 k, j = k[ok], j[ok]
-                alike, mixed = alikes(text, code[k], code[j])
-                ok = alike > 0
-                found.append((k[ok], j[ok], alike[ok], mixed[ok]))
+                ok, alike, mixed = alikes(text, marks, code[k], code[j])
+                found.append((k[ok][alike > 0], j[ok][alike > 0], alike[alike > 0], mixed[alike > 0]))
             for k, j, alike, mixed in found:
                 ok = (met[k] & met[j]) == 0
                 ok &= (kind[k] != 3) | (place[k] != place[j]) | (place[k] == 0)  # pairs of one place meet under the other kinds

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinweave.llm.names import words
 from kinweave.runtime import Scratch, small_side
 
 #: Years of birth of one person's records lie no further apart, unless rounded or gone.
@@ -23,9 +24,9 @@ CENSUSES = 14
 #: Spellings of the two sexes. Fixed values.
 SEXES = {"karl": 1, "kk": 1, "kona": 2, "kvk": 2}
 #: What blocks take of cells.
-CELL = ["cell", "name", "place", "parish", "sex", "lo", "hi", "met"]
+CELL = ["cell", "words", "spelt", "place", "parish", "sex", "lo", "hi", "met"]
 _TYPED = "at bigint, born int, id bigint, bit int, person bigint, sex int, place bigint, spelt bigint, name string"
-_CELLS = "cell bigint, name string, place bigint, sex int, lo int, hi int, met int, plural boolean, spelt bigint, person_lo bigint, person_hi bigint, ids array<bigint>, bits array<int>, persons array<bigint>"
+_CELLS = "cell bigint, words string, place bigint, sex int, lo int, hi int, met int, plural boolean, spelt bigint, person_lo bigint, person_hi bigint, ids array<bigint>, bits array<int>, persons array<bigint>"
 
 
 def written(name: str) -> str:
@@ -129,7 +130,7 @@ def _joined(t: pa.Table, crowded: bool, goes_on: bool = False) -> pa.RecordBatch
     first = pa.array(start)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.minimum.reduceat(ids, start)), t.column("name").combine_chunks().take(first), t.column("place").combine_chunks().take(first), pa.array(np.where(low_sex == high_sex, high_sex, 0).astype(np.int32)),
+            pa.array(np.minimum.reduceat(ids, start)), pa.array([words(x) for x in t.column("name").combine_chunks().take(first).to_pylist()], pa.string()), t.column("place").combine_chunks().take(first), pa.array(np.where(low_sex == high_sex, high_sex, 0).astype(np.int32)),
             pa.array(born[start].astype(np.int32)), pa.array(np.maximum.reduceat(born, start).astype(np.int32)), pa.array(met.astype(np.int32)), pa.array(n > np.bitwise_count(met)), pa.array(spelt[start]),
             pa.array(np.where(known, low, 0)), pa.array(np.where(known, high, 0)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(bit.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(person)),
         ],
@@ -174,7 +175,7 @@ def _grouped(rows: int = 100_000):
 def cells(df: DataFrame, censuses: list[int], person: Column, scratch: Scratch, at: DataFrame | None = None) -> DataFrame:
     """Cells of records (id, manntal, nafn, faedingarar, kyn, bi_baer), written to the shared folder.
 
-    cell (the least id), name (one as typed), place, parish (by `at`: place, parish; NULL if not known), sex (0 unknown, 1, 2),
+    cell (the least id), words (folded tokens of the name), place, parish (by `at`: place, parish; NULL if not known), sex (0 unknown, 1, 2),
     lo and hi (years of birth, 0 unknown), met (bits of the censuses), plural, spelt (hash of the spelling), person_lo and
     person_hi (least and largest known person), and of the records ids, bits (each one's census) and persons (0 unknown).
     Records without id, census or name are in no cell; repeated ones count once; missing and impossible years are unknown

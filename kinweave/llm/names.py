@@ -170,18 +170,27 @@ class CallNames:
         for call, full in pairs:
             self.of.setdefault(folded(call), set()).add(folded(full))
 
-    def read(self, name: str) -> tuple[tuple[str, ...], bool]:
-        """Tokens of a name, and whether it is settled: every token an established name, the first of five letters at least, the last a
+    def read(self, words: str) -> tuple[tuple[str, ...], bool]:
+        """Tokens of a name given as words(), and whether it is settled: every token an established name, the first of five letters at least, the last a
         patronymic."""
-        got = self.seen.get(name)
+        got = self.seen.get(words)
         if got is None:
-            t = tokens(name)
+            t = tuple(words.split(" ")) if words else ()
             got = (t, len(t) > 1 and len(t[0]) > 4 and all(x in self.known for x in t) and bool(stem_of_patronymic(t[-1])[1]) and not stem_of_patronymic(t[0])[1])
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            self.seen[name] = got
+            self.seen[words] = got
         return got
 
+    def marks(self, words: str) -> tuple[bool, str, str]:
+        """(plain, first, last) of a name: two plain names are one only if they sound alike in the first token and in the last one's stem, and
+        have one sex in it. Plain is a settled name of two tokens of which the first is no call name."""
+        t, settled = self.read(words)
+        if not settled or len(t) > 2 or t[0] in self.of or t[0][-2:] in ("si", "sa"):
+            return False, "", ""
+        stem, of = stem_of_patronymic(t[-1])
+        return not t[-1].endswith("sen"), sounded(t[0]), sounded(stem) + "|" + of
+
     def roots(self, token: str) -> set[str]:
         """The names that a token may be a call name of: those listed, and for one in -si or -sa the established ones of its stem."""
         t = token.rstrip(".:")
@@ -236,7 +245,17 @@ def last_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
     return (0.93 if misspelt(x, y, calls.known) else 0.0), not (ka and kb)
 
 
+def words(name: str) -> str:
+    """The tokens of a name in one text."""
+    return " ".join(tokens(name))
+
+
 def name_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
+    """words_alike() of two names as typed."""
+    return words_alike(words(a), words(b), calls)
+
+
+def words_alike(a: str, b: str, calls: CallNames) -> tuple[float, bool]:
     """How alike two whole names are, 0 to 1, and whether only a patronymic and another last name stand against it.
 
     Tokens are compared in order of given names and last name, and, where no order shows, the other way round too. One

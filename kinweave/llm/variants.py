@@ -11,34 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kinweave.llm.blocks import ROWS, Met, compared, key_rows
 from kinweave.llm.cells import CELL, cells, censuses_of, parishes
 from kinweave.llm.components import propagate_labels
-from kinweave.llm.names import CallNames, tokens
+from kinweave.llm.names import CallNames
 from kinweave.runtime import Scratch
 
 
-def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, int] = {}
+def established(words: DataFrame, one_in: int = 20_000, least: int = 5) -> frozenset[str]:
+    """Tokens that stand in one of `one_in` names at least: at most `one_in` times the tokens of a name of them.
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-
-    for b in batches:
-        found = b.column(0).value_counts()
-        for name, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
-            for t in tokens(name):
-                t = t.rstrip(".:")
-                counts[t] = counts.get(t, 0) + n
-        if len(counts) > 200_000:
-            yield told()
-            counts = {}
-    yield told()
-
-
-def established(names: DataFrame, one_in: int = 20_000, least: int = 5) -> frozenset[str]:
-    """Folded tokens that stand in one of `one_in` names at least: at most `one_in` times the tokens of a name of them.
-
-    names: one text column. Counted over all rows, combined per task before the shuffle.
+    words: one column of names as words(). Counted over all rows, combined per task before the shuffle.
     """
-    counted = Scratch(names.sparkSession, "tokens").keep(names.toDF("name").where("name is not null").mapInArrow(_token_lists, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    each = words.toDF("words").select(F.explode(F.split("words", " ")).alias("t")).select(F.rtrim(F.col("t"), F.lit(".:")).alias("token")).where("token <> ''")
+    counted = Scratch(words.sparkSession, "tokens").keep(each.groupBy("token").agg(F.count("*").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     return frozenset(r["token"] for r in counted.where(F.col("n") >= max(least, total / (2 * one_in))).collect())
 
@@ -125,7 +108,7 @@ def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None =
     scratch = Scratch(spark, "variants")
     censuses = censuses_of(rows)
     made = cells(rows, censuses, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)), scratch, None if places is None else parishes(places)).where("not plural")
-    calls = call_names(called, established(made.select("name")))
+    calls = call_names(called, established(made.select("words")))
     blocked = made.select(*CELL).mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
     found = blocked.mapInArrow(compared(calls, _judged, False), "a bigint, b bigint, met_a int, met_b int, equal boolean, odds double")
     edges = scratch.keep(found.groupBy(*EDGE[:-1]).agg(F.max("odds").alias("odds")))
