@@ -1,6 +1,6 @@
 """Blocks of cells that share a key of phonetic codes, compared where they meet after one exchange.
 
-A cell (cells.py) enters several blocks. A row of a block is (key, fit, cell, spelt, words): the key is a hash of its text; fit
+A cell (cells.py) enters several blocks. A row of a block is (key, fit, cell, spelt, mark, words): the key is a hash of its text; mark one of CallNames.mark, 0 if empty; fit
 holds years of birth, parish and place (12 and 16 bits of them), censuses, sex, kind of key and side in one number, its order being that of the years.
 A task holds no more of a block than a window of years and the cells without year. Names are compared once for each two
 spellings that meet in a chunk.
@@ -21,8 +21,8 @@ from kinweave.llm.names import CallNames, phonetic, stem_of_patronymic, words_al
 ROUNDED = 10
 #: Most years between the first and last year of birth of a cell that a row holds.
 SPAN = 15
-ROWS = "key bigint, fit bigint, cell bigint, spelt bigint, words string"
-_NAMES = ["key", "fit", "cell", "spelt", "words"]
+ROWS = "key bigint, fit bigint, cell bigint, spelt bigint, mark bigint, words string"
+_NAMES = ["key", "fit", "cell", "spelt", "mark", "words"]
 _MET = (1 << CENSUSES) - 1
 _U = np.uint64
 
@@ -105,7 +105,9 @@ def key_rows(calls: CallNames, side: int, bands: str):
                 continue
             names = b.column(1).dictionary_encode()
             code = names.indices.to_numpy(zero_copy_only=False)
-            lists = [seeds.of(x) for x in names.dictionary.to_pylist()]
+            text = names.dictionary.to_pylist()
+            lists = [seeds.of(x) for x in text]
+            marks = np.array([seeds.digest(m) if (m := calls.mark(x)) else 0 for x in text], dtype=_U).view(np.int64)
             sexes, lo, hi, met = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (5, 6, 7, 8))
             hi = np.minimum(hi, lo + SPAN)
             parish = np.where(b.column(4).is_null().to_numpy(zero_copy_only=False), 0, b.column(4).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) % 4_093 + 1)
@@ -136,7 +138,7 @@ def key_rows(calls: CallNames, side: int, bands: str):
             where = np.where(placed, place % 65_521 + 1, 0)[row]
             fit = fit_of(lo[row], hi[row], parish[row], where, met[row], sexes[row], kind, side)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(0).take(take), b.column(2).take(take), b.column(1).take(take)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fit), b.column(0).take(take), b.column(2).take(take), pa.array(marks[code[row]]), b.column(1).take(take)], names=_NAMES)
 
     return run
 
@@ -172,18 +174,12 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
     alike as much as the pair's, in two-sided blocks, on side 0 only), in the census that has most of them, less the pair's own.
     """
 
-    def marked(text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        marks, of = [calls.marks(x) for x in text], {}
-        plain, first, last = zip(*marks)
-        return np.array(plain), *(np.array([of.setdefault(x, len(of)) for x in side]) for side in (first, last))
-
-    def alikes(text: list[str], marks: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(i, likeness, mixed) of the pairs of spellings that are alike or mixed."""
-        plain, first, last = marks
-        i = np.flatnonzero(~(plain[x] & plain[y]) | ((first[x] == first[y]) & (last[x] == last[y])))
+    def alikes(text: list[str], code: np.ndarray, mark: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(i, likeness, mixed) of the pairs of rows whose names are alike or mixed."""
+        i = np.flatnonzero((mark[x] == 0) | (mark[y] == 0) | (mark[x] == mark[y]))
         if not len(i):
             return i, np.zeros(0), np.zeros(0, dtype=bool)
-        once, back = np.unique(x[i].astype(np.int64) * len(text) + y[i], return_inverse=True)
+        once, back = np.unique(code[x[i]].astype(np.int64) * len(text) + code[y[i]], return_inverse=True)
         got = [words_alike(text[v // len(text)], text[v % len(text)], calls) for v in once.tolist()]
         alike, mixed = np.array([g[0] for g in got])[back], np.array([g[1] for g in got])[back]
         on = (alike > 0) | mixed
@@ -208,8 +204,7 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
         names = t.column("words").combine_chunks().dictionary_encode()
         names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
         text, code = names.dictionary.to_pylist(), names.indices.to_numpy()
-        marks = marked(text)
-        same = t.column("spelt").to_numpy()
+        same, mark = t.column("spelt").to_numpy(), t.column("mark").to_numpy()
         cell = t.column("cell").to_numpy()
         bits = [c for c in range(CENSUSES) if np.bitwise_or.reduce(met) >> c & 1]
         dated, ten = lo > 0, (lo == hi) & (lo % 10 == 0)
@@ -244,7 +239,7 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
                     gap = gaps(i, r)
                     ok = sexed(i, r) & ((gap <= NEAR) | np.where(lo[i] < lo[r], ten[i], ten[r])) & (cell[i] != cell[r])
                     i, r, gap = i[ok], r[ok], gap[ok]
-                    ok, alike, mixed = alikes(text, marks, code[i], code[r])
+                    ok, alike, mixed = alikes(text, code, mark, i, r)
                     i, r, gap = i[ok], r[ok], gap[ok]
                     if not len(i):
                         continue
@@ -272,7 +267,7 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
             for k, j in sliced(index + 1, np.minimum(near, ends), index):
                 ok = sexed(k, j) & (cell[k] != cell[j])
                 k, j = k[ok], j[ok]
-                ok, alike, mixed = alikes(text, marks, code[k], code[j])
+                ok, alike, mixed = alikes(text, code, mark, k, j)
                 k, j = k[ok], j[ok]
                 for c, b in enumerate(bits):
                     for x, y in ((k, j), (j, k)):
@@ -288,7 +283,7 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
             for k, j in sliced(np.maximum(near, index + 1)[lone], np.minimum(wide, ends)[lone], lone):
                 ok = sexed(k, j) & (cell[k] != cell[j]) & ((met[k] & met[j]) == 0) & (ten[k] | ~dated[k])
                 k, j = k[ok], j[ok]
-                ok, alike, mixed = alikes(text, marks, code[k], code[j])
+                ok, alike, mixed = alikes(text, code, mark, k, j)
                 found.append((k[ok][alike > 0], j[ok][alike > 0], alike[alike > 0], mixed[alike > 0]))
             for k, j, alike, mixed in found:
                 ok = (met[k] & met[j]) == 0

@@ -182,14 +182,14 @@ class CallNames:
             self.seen[words] = got
         return got
 
-    def marks(self, words: str) -> tuple[bool, str, str]:
-        """(plain, first, last) of a name: two plain names are one only if they sound alike in the first token and in the last one's stem, and
-        have one sex in it. Plain is a settled name of two tokens of which the first is no call name."""
+    def mark(self, words: str) -> str:
+        """How a name sounds in its first token and in the last one's stem, with the sex of the last, if the name is settled, of two tokens and
+        no call name; else empty. Two names of different marks are two names."""
         t, settled = self.read(words)
-        if not settled or len(t) > 2 or t[0] in self.of or t[0][-2:] in ("si", "sa"):
-            return False, "", ""
+        if not settled or len(t) > 2 or t[0] in self.of or t[0][-2:] in ("si", "sa") or t[-1].endswith("sen"):
+            return ""
         stem, of = stem_of_patronymic(t[-1])
-        return not t[-1].endswith("sen"), sounded(t[0]), sounded(stem) + "|" + of
+        return f"{sounded(t[0])} {sounded(stem)} {of}"
 
     def roots(self, token: str) -> set[str]:
         """The names that a token may be a call name of: those listed, and for one in -si or -sa the established ones of its stem."""

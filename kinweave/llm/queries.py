@@ -27,12 +27,13 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return term_frequencies(table(spark, root, CENSUS), NAME_FIELDS)
 
 
-def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return link_tables(table(spark, root, CENSUS), table(spark, root, "rule_based_predictions"), table(spark, root, "gaelunofn"), table(spark, root, "manntol_baeir"))
+def p3_pairs(spark: SparkSession, root: str, report: float = 0.0) -> DataFrame:
+    names = (CENSUS, "rule_based_predictions", "gaelunofn", "manntol_baeir")
+    return link_tables(*[table(spark, root, n) for n in names], report=report)
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return p3_pairs(spark, root).where("p >= 0.5").select("id_census", "id_second")
+    return p3_pairs(spark, root, 0.5).select("id_census", "id_second")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

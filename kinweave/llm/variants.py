@@ -87,7 +87,7 @@ def contested(edges: DataFrame, censuses: int) -> DataFrame:
     return sums.groupBy("a", "b").agg(F.max("equal").alias("equal"), F.min(F.col("w") / (1 + most)).alias("p"))
 
 
-def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None = None, least: float = 0.5, steps: tuple[float, ...] = (0.75, 0.9)) -> DataFrame:
+def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """(id_1, id_2), id_1 < id_2: distinct pairs of records of one person under two spellings of `nafn`.
 
     rows: id, manntal, nafn, faedingarar, kyn, bi_baer, bi_einstaklingur; called: gaelunafn, fornafn; places: bi_baer, bi_sokn (where given, movers within a parish count for more). A spelling is `nafn` in
@@ -101,8 +101,8 @@ def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None =
     the names, the place, the years and how many other persons it might be; a pair is accepted if its share among all pairs
     that exclude each other is `least` or more. Accepted pairs make components, and records of a component in
     different censuses and spellings are the result. A component with two records of one census, or with two curated persons,
-    holds more than one person: it is cut at its weaker pairs, at each of `steps` in turn, and at last only the pairs
-    compared directly are kept. Curated persons only reject: records of two of them are never one.
+    holds more than one person: its pairs join it again from the
+    likeliest on, but those that would bring two such records together. Curated persons only reject: records of two of them are never one.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "variants")
@@ -112,35 +112,52 @@ def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None =
     blocked = made.select(*CELL).mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
     found = blocked.mapInArrow(compared(calls, _judged, False), "a bigint, b bigint, met_a int, met_b int, equal boolean, odds double")
     edges = scratch.keep(found.groupBy(*EDGE[:-1]).agg(F.max("odds").alias("odds")))
-    accepted = scratch.keep(contested(edges, len(censuses)).where(F.col("p") >= least).select("a", "b", "equal", "p"))
-    found = []
-    for step in (*steps, None):
-        # Only cells that a chain of pairs joins to one of another spelling have a pair.
-        labels = propagate_labels(accepted, "a", "b").select(F.col("node").alias("cell"), "component")
-        whole = scratch.keep(made.join(labels, "cell").select("cell", "component", "met", "spelt", "person_lo", "person_hi", "ids", "bits", "persons"))
-        each = whole.groupBy("component").agg(
-            F.sum(F.bit_count("met")).alias("n"), F.bit_count(F.expr("bit_or(met)")).alias("m"), F.min(F.nullif("person_lo", F.lit(0))).alias("x"), F.max(F.nullif("person_hi", F.lit(0))).alias("y"),
-            F.min("spelt").alias("s"), F.max("spelt").alias("t"),
-        ).where("s <> t")
-        each = each.select("component", (F.col("n") > F.col("m")) | F.coalesce(F.col("x") != F.col("y"), F.lit(False)).alias("clash")).toDF("component", "clash")
-        whole = scratch.keep(whole.join(each, "component"))
-        sound = whole.where("not clash")
-        x, y = sound.alias("x"), sound.alias("y")
-        cells_met = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.cell") < F.col("y.cell")) & (F.col("x.spelt") != F.col("y.spelt")))
-        found.append(_records(cells_met))
-        accepted = accepted.join(whole.where("clash").select(F.col("cell").alias("a")), "a", "left_semi")
-        if step is not None:
-            accepted = scratch.keep(accepted.where(F.col("p") >= step))
-            if accepted.isEmpty():
-                break
-    else:
-        x, y = whole.where("clash").alias("x"), whole.where("clash").alias("y")
-        direct = accepted.where("not equal").join(x, F.col("a") == F.col("x.cell")).join(y, F.col("b") == F.col("y.cell"))
-        found.append(_records(direct))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    accepted = scratch.keep(contested(edges, len(censuses)).where(F.col("p") >= least))
+    labels = scratch.keep(propagate_labels(accepted, "a", "b").select(F.col("node").alias("cell"), "component"))
+    # Only components with a pair of two spellings have records to tell.
+    at = accepted.join(labels.withColumnRenamed("cell", "a"), "a")
+    told = at.groupBy("component").agg(F.min("equal").alias("equal")).where("not equal").select("component")
+    whole = made.join(labels.join(told, "component"), "cell").select("cell", "component", "met", "spelt", "person_lo", "person_hi", "ids", "bits", "persons")
+    several = F.sum(F.bit_count("met")) > F.bit_count(F.expr("bit_or(met)"))
+    persons = F.coalesce(F.min(F.nullif("person_lo", F.lit(0))) != F.max(F.nullif("person_hi", F.lit(0))), F.lit(False))
+    whole = scratch.keep(whole)
+    whole = scratch.keep(whole.join(whole.groupBy("component").agg((several | persons).alias("clash")), "component"))
+    clash = whole.where("clash").select("cell", "component", "met", F.when(F.col("person_lo") == F.col("person_hi"), F.col("person_lo")).otherwise(0).alias("person"))
+    ends = [clash.select(F.col("cell").alias(x), F.col("met").alias(f"met_{x}"), F.col("person").alias(f"person_{x}"), *(["component"] if x == "a" else [])) for x in "ab"]
+    cut = accepted.join(ends[0], "a").join(ends[1], "b").select("component", "p", "a", "b", "met_a", "met_b", "person_a", "person_b")
+    cut = cut.repartition("component").sortWithinPartitions("component", F.desc("p"), "a", "b").mapInArrow(_joined_again, "cell bigint, part bigint")
+    parts = whole.where("not clash").unionByName(whole.where("clash").drop("component").join(cut.withColumnRenamed("part", "component"), "cell"))
+    x, y = parts.alias("x"), parts.alias("y")
+    return _records(x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.cell") < F.col("y.cell")) & (F.col("x.spelt") != F.col("y.spelt")))).distinct()
+
+
+def _joined_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, part) of pairs sorted by component and, from the likeliest on, by p: parts hold one record a census and one known person, as far as cells do."""
+    component, up, held = None, {}, {}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(c) for c in up], pa.int64())], names=["cell", "part"])
+
+    for batch in batches:
+        for of, _, a, b, met_a, met_b, person_a, person_b in zip(*(c.to_pylist() for c in batch.columns)):
+            if of != component:
+                if up:
+                    yield told()
+                component, up, held = of, {}, {}
+            for c, met, person in ((a, met_a, person_a), (b, met_b, person_b)):
+                if c not in up:
+                    up[c], held[c] = c, (met, person)
+            a, b = sorted((top(a), top(b)))
+            (m, p), (n, q) = held[a], held[b]
+            if a != b and not m & n and (p == q or not p or not q):
+                up[b], held[a] = a, (m | n, p or q)
+    if up:
+        yield told()
 
 
 def _records(pairs: DataFrame) -> DataFrame:
