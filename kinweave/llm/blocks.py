@@ -19,12 +19,14 @@ from kinweave.llm.names import CallNames, phonetic, stem_of_patronymic, words_al
 
 #: Years that a year of birth rounded down to the decade may be off.
 ROUNDED = 10
+#: Likeness of names from which two cells at one place need no count of others to be one.
+SURE = 0.84
 #: Most years between the first and last year of birth of a cell that a row holds.
 SPAN = 15
 ROWS = "key bigint, fit bigint, cell bigint, spelt bigint, mark bigint, words string"
 _NAMES = ["key", "fit", "cell", "spelt", "mark", "words"]
 _MET = (1 << CENSUSES) - 1
-_U = np.uint64
+_U, _ALL = np.uint64, (1 << 64) - 1
 
 
 def fit_of(lo, hi, parish, place, met, sex, kind, side) -> np.ndarray:
@@ -62,9 +64,17 @@ class _Seeds:
         mark = xxhash.xxh64_intdigest(repr((sorted((k, sorted(v)) for k, v in calls.of.items()), len(calls.known))))
         if mark not in _seeds:
             _seeds.clear()
-        self.digest, self.calls, self.known = xxhash.xxh64_intdigest, calls, _seeds.setdefault(mark, {})
+        self.digest, self.calls, self.known, self.codes = xxhash.xxh64_intdigest, calls, _seeds.setdefault(mark, {}), {}
 
-    def of(self, words: str) -> tuple[list[int], list[int], list[int]]:
+    def code(self, token: str) -> int:
+        got = self.codes.get(token)
+        if got is None:
+            if len(self.codes) > 200_000:
+                self.codes.clear()
+            got = self.codes[token] = self.digest(phonetic(token))
+        return got
+
+    def of(self, words: str) -> tuple[tuple[int, ...], ...]:
         got = self.known.get(words)
         if got is None:
             t = words.split(" ") if words else []
@@ -73,16 +83,17 @@ class _Seeds:
             if len(t) > 1 and not stem_of_patronymic(t[-1])[1]:
                 orders.append((t[-1], t[0]))
             for first, last in orders:
-                given = [first, *sorted(self.calls.roots(first))]
-                code = phonetic(stem_of_patronymic(last)[0]) if last else ""
-                firsts = {phonetic(g) for g in given}
-                two |= {f"2{f}" for f in firsts}
-                if last:
-                    one |= {f"1{code}|{g[0]}" for g in given}
-                    three |= {"3" + "|".join(sorted((f, code))) for f in firsts}
+                code = self.code(stem_of_patronymic(last)[0]) if last else 0
+                for g in (first, *self.calls.roots(first)):
+                    f = self.code(g)
+                    two.add(f ^ 2)
+                    if last:
+                        one.add((code * 31 + ord(g[0]) * 0x9E3779B97F4A7C15 + 1) & _ALL)
+                        three.add(((f + code) * 0x9E3779B97F4A7C15 ^ f ^ code) & _ALL)
             if len(t) > 2:
-                three.add("4" + "|".join(sorted(phonetic(x) for x in t)))
-            got = tuple([self.digest(x) for x in sorted(s)] for s in (one, two, three))
+                all_of = sum(map(self.code, t))
+                three.add((all_of * 0xC4CEB9FE1A85EC53 + 4) & _ALL)
+            got = tuple(one), tuple(two), tuple(three)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[words] = got
@@ -265,10 +276,13 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
             found = []
             count = np.zeros((2, len(bits), n), dtype=np.int32)
             for k, j in sliced(index + 1, np.minimum(near, ends), index):
-                ok = sexed(k, j) & (cell[k] != cell[j])
+                # Under kind 1 nobody is counted: who else is near with a first name alike shows under kind 2.
+                ok = sexed(k, j) & (cell[k] != cell[j]) & ((kind[k] != 1) | ((met[k] & met[j]) == 0))
                 k, j = k[ok], j[ok]
                 ok, alike, mixed = alikes(text, code, mark, k, j)
                 k, j = k[ok], j[ok]
+                ok = (kind[k] != 1) | (alike >= SURE)
+                k, j, alike, mixed = k[ok], j[ok], alike[ok], mixed[ok]
                 for c, b in enumerate(bits):
                     for x, y in ((k, j), (j, k)):
                         has = (met[y] >> b & 1) > 0
@@ -284,7 +298,8 @@ def compared(calls: CallNames, judge: Callable, two_sided: bool, rows: int = 100
                 ok = sexed(k, j) & (cell[k] != cell[j]) & ((met[k] & met[j]) == 0) & (ten[k] | ~dated[k])
                 k, j = k[ok], j[ok]
                 ok, alike, mixed = alikes(text, code, mark, k, j)
-                found.append((k[ok][alike > 0], j[ok][alike > 0], alike[alike > 0], mixed[alike > 0]))
+                on = alike >= SURE
+                found.append((k[ok][on], j[ok][on], alike[on], mixed[on]))
             for k, j, alike, mixed in found:
                 ok = (met[k] & met[j]) == 0
                 ok &= (kind[k] != 3) | (place[k] != place[j]) | (place[k] == 0)  # pairs of one place meet under the other kinds

@@ -85,10 +85,11 @@ def _typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = spelt ^ _mixed(np.where(placed, place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ~ids))
         columns = [pa.array(at), b.column(1), b.column(2), b.column(3), b.column(4), b.column(5), place, pa.array(spelt), b.column(0)]
         # A record that comes again and again in a batch goes on once.
-        order = np.lexsort((b.column(4).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), at, ids))
-        new = np.zeros(b.num_rows, dtype=bool)
-        new[order] = _changes(*[x.to_numpy(zero_copy_only=False)[order] for x in (pa.array(at), b.column(1), b.column(2), b.column(3), b.column(4))])
-        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _TYPED.split(", ")]).filter(pa.array(new & there))
+        if len(np.unique(ids)) < len(ids):
+            columns_of = [at, *(b.column(c).to_numpy(zero_copy_only=False) for c in (1, 3, 4)), ids]
+            order = np.lexsort(columns_of)
+            there[order] &= _changes(*[x[order] for x in columns_of])
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _TYPED.split(", ")]).filter(pa.array(there))
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -187,7 +188,7 @@ def cells(df: DataFrame, censuses: list[int], person: Column, scratch: Scratch,
         F.col("nafn").alias("name"), F.coalesce(birth, F.lit(0)).alias("born"), F.col("id").cast("long").alias("id"), bit.alias("bit"), F.coalesce(person, F.lit(0)).cast("long").alias("person"),
         sex(F.col("kyn")).alias("sex"), F.col("bi_baer").cast("long").alias("place"),
     ).where("id is not null and bit >= 0 and name is not null")
-    rows = rows.mapInArrow(_typed, _TYPED).repartition("at").sortWithinPartitions("at", "born", "id", "bit", "spelt")
+    rows = rows.mapInArrow(_typed, _TYPED).repartition("at").sortWithinPartitions("at", "born", "id")
     made = rows.mapInArrow(_grouped(), _CELLS)
     made = made.withColumn("parish", F.lit(None).cast("long")) if at is None else made.join(small_side(at), "place", "left")
     return scratch.keep(made)
