@@ -31,6 +31,52 @@ def candidates(records: DataFrame, seeds: DataFrame | None = None, years: int =
     return left.join(right, ["_s", "_y"]).where(near).select("seed", "match")
 
 
+def candidate_counts(records: DataFrame, years: int = 2, same: str = "kyn", key: str = "id") -> DataFrame:
+    """(key, n_candidates): how many candidates() a record has, by sums over the distinct years of birth and not over pairs."""
+    n = records.where(F.col(same).isNotNull() & F.col("faedingarar").isNotNull()).groupBy(same, "faedingarar").agg(F.count("*").alias("n"))
+    each = candidates(n, years=years, same=same).groupBy(F.col(f"seed.{same}").alias(same), F.col("seed.faedingarar").alias("faedingarar")).agg(F.sum("match.n").alias("n_candidates"))
+    return records.join(small_side(each), [same, "faedingarar"]).select(key, "n_candidates")
+
+
+def close_values(values: DataFrame, most: int) -> DataFrame:
+    """(a, b): ordered pairs of distinct values (one text column, no NULL) within `most` edits of each other, each with itself.
+
+    A text longer than `most` is cut into most + 1 pieces, of which one stands untouched in any text within `most` edits, no
+    more than `most` places off; so pairs meet in an equi-join on (length, piece, its text), and only those are compared. Shorter
+    texts meet by their length.
+    """
+    v = values.toDF("v").distinct().withColumn("n", F.length("v"))
+    cut = "int(i * {n} / {k})".replace("{k}", str(most + 1))
+    begin, end = cut.format(n="n"), cut.replace("i *", "(i + 1) *").format(n="n")
+    whole = v.where(F.col("n") > most).select("v", "n", F.explode(F.expr(f"sequence(0, {most})")).alias("i"))
+    index = whole.select(F.col("v").alias("a"), "n", "i", F.expr(f"substring(v, {begin} + 1, {end} - {begin})").alias("piece"))
+    # The probe of length m meets texts of n letters, m - most to m + most.
+    probe = v.select(F.col("v").alias("b"), F.col("n").alias("m"), F.explode(F.expr(f"sequence(greatest({most + 1}, n - {most}), greatest({most + 1}, n + {most}))")).alias("n")).where(f"n <= m + {most}")
+    probe = probe.select("*", F.explode(F.expr(f"sequence(0, {most})")).alias("i")).withColumn("from", F.expr(begin)).withColumn("size", F.expr(f"{end} - {begin}"))
+    probe = probe.where(f"greatest(0, from - {most}) <= least(from + {most}, m - size)").select("*", F.explode(F.expr(f"sequence(greatest(0, from - {most}), least(from + {most}, m - size))")).alias("at"))
+    met = index.join(probe.select("b", "n", "i", F.expr("substring(b, at + 1, size)").alias("piece")).distinct(), ["n", "i", "piece"]).select("a", "b")
+    short = v.where(F.col("n") <= most).select(F.col("v").alias("a"), F.explode(F.expr(f"sequence(0, n + {most})")).alias("n"))
+    met = met.unionByName(short.join(v.select(F.col("v").alias("b"), "n"), "n").select("a", "b")).distinct()
+    return met.where(F.levenshtein("a", "b", most) >= 0)
+
+
+def capped_candidates(records: DataFrame, seeds: DataFrame | None = None, caps: Mapping[str, int] = CAPS, years: int = 2, same: str = "kyn") -> DataFrame:
+    """The pairs of candidates() within the caps, without making the others: close_values() of the column of the least cap
+    give the values that a seed's may meet, and records join on that value, the sex and the year of birth."""
+    by = min(caps, key=lambda c: caps[c])
+    text = lambda df: F.coalesce(df[by], F.lit(""))
+    seeds = records if seeds is None else seeds
+    values = records.select(text(records)).union(seeds.select(text(seeds)))
+    scratch = Scratch(records.sparkSession, "close")
+    close = small_side(scratch.keep(close_values(values, caps[by])))
+    band = F.explode(F.sequence(F.lit(-years), F.lit(years)))
+    left = seeds.select(F.struct("*").alias("seed"), text(seeds).alias("a"), F.col(same).alias("_s"), F.col("faedingarar").alias("_b"), band.alias("_k")).withColumn("_y", F.floor("_b") + F.col("_k"))
+    right = records.select(F.struct("*").alias("match"), text(records).alias("b"), F.col(same).alias("_s"), F.floor("faedingarar").alias("_y"))
+    near = F.abs(F.col("seed.faedingarar") - F.col("match.faedingarar")) <= years
+    pairs = left.join(close, "a").join(right, ["_s", "_y", "b"]).where(near).select("seed", "match")
+    return within_caps(pairs, {c: m for c, m in caps.items() if c != by})
+
+
 def within_caps(pairs: DataFrame, caps: Mapping[str, int] = CAPS) -> DataFrame:
     for c, most in caps.items():
         pairs = pairs.where(edits_within(F.col(f"seed.{c}"), F.col(f"match.{c}"), most))
@@ -96,7 +142,7 @@ def greedy_cover(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def link(records: DataFrame, transitions: DataFrame, names: Sequence[str], mode: str = "first_seed", marital: Marital = Marital(), caps: Mapping[str, int] = CAPS, seeds: DataFrame | None = None) -> DataFrame:
     """Whole linkage; records has uniqueness_score. mode: first_seed or greedy_cover."""
-    edges = accepted(scored(within_caps(candidates(records, seeds), caps), transitions, names, marital=marital))
+    edges = accepted(scored(capped_candidates(records, seeds, caps), transitions, names, marital=marital))
     return greedy_cover(edges) if mode == "greedy_cover" else first_seed(edges)
 
 

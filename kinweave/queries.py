@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from kinweave.functions import compare as cmp, evidence as ev
 from kinweave.operators import features, linkage, metrics, models, pool, prepare, sampling
 from kinweave.plans.adapters import ASCII_MARITAL, PART_NAMES, PART_UNIQUE, REC_PARTS_SQL, TRANSITIONS_SQL, rec_orders, rec_parts, rec_parts_unique, transitions
-from kinweave.runtime import table
+from kinweave.runtime import small_side, table
 from kinweave.sources.rejects import person_records
 
 CENSUS, PREDICTED = "updated_icelandic_census_data", "rule_based_predictions"
@@ -27,7 +27,7 @@ def p6_rows(spark: SparkSession, root: str) -> DataFrame:
 
 def _edges(spark: SparkSession, root: str) -> DataFrame:
     """Scored candidate edges of all records."""
-    pairs = linkage.within_caps(linkage.candidates(rec_parts_unique(spark, root)))
+    pairs = linkage.capped_candidates(rec_parts_unique(spark, root))
     return linkage.scored(pairs, transitions(spark, root), PART_NAMES, marital=ASCII_MARITAL)
 
 
@@ -42,11 +42,25 @@ def link_intended(spark, root):
 def link_one_seed(spark, root):
     """All scored candidates of one entry, with the flag of rows that carry its name."""
     r = rec_parts_unique(spark, root)
-    p = linkage.within_caps(linkage.candidates(r, r.where("id = 7")))
+    p = linkage.capped_candidates(r, r.where("id = 7"))
     e = linkage.scored(p, transitions(spark, root), PART_NAMES, marital=ASCII_MARITAL)
     return e.select("match_id", "manntal", F.round("score", 6).alias("score"), (F.col("name") == 0).alias("same_name"))
 
 
+def _census_records(spark, root):
+    """First deliveries of the census rows, placed in their units, with uniqueness and group of position."""
+    c = prepare.first_rows(table(spark, root, CENSUS), ["id"], ["skrad_at"]).withColumn("faedingarar", F.nullif("faedingarar", F.lit(0.0)))
+    groups = table(spark, root, "stada_listi").select("cleaned_status", "stada_group").dropDuplicates(["cleaned_status"])
+    c = prepare.with_location(c, table(spark, root, "manntol_baeir")).join(small_side(groups), "cleaned_status", "left")
+    return prepare.with_uniqueness(c.withColumns({"millinafn": F.lit(""), "aettarnafn": F.lit("")}), PART_UNIQUE)
+
+
+def link_census(spark, root):
+    """The whole linkage on the census rows: every row with the person it is assigned to."""
+    out = linkage.link(_census_records(spark, root), table(spark, root, "updated_data"), PART_NAMES)
+    return out.withColumn("score", F.round("score", 6))
+
+
 def uniqueness_score(spark, root):
     return rec_parts_unique(spark, root).select("id", F.round("uniqueness_score", 6).alias("uniqueness_score"))
 
@@ -66,12 +80,11 @@ def column_ends(spark, root):
 
 def block_pairs(spark, root):
     """How many candidates every record has before the edit caps."""
-    p = linkage.candidates(rec_parts(spark, root))
-    return p.groupBy(F.col("seed.id").alias("id")).agg(F.count("*").alias("n_candidates"))
+    return linkage.candidate_counts(rec_parts(spark, root))
 
 
 def edit_caps(spark, root):
-    p = linkage.within_caps(linkage.candidates(rec_parts(spark, root)))
+    p = linkage.capped_candidates(rec_parts(spark, root))
     return p.groupBy(F.col("seed.id").alias("id")).agg(F.count("*").alias("n_candidates"))
 
 
@@ -82,7 +95,7 @@ def distance_terms(spark, root):
 
 
 def weighted_score(spark, root):
-    pairs = linkage.within_caps(linkage.candidates(rec_parts_unique(spark, root)))
+    pairs = linkage.capped_candidates(rec_parts_unique(spark, root))
     e = linkage.scored(pairs, transitions(spark, root), PART_NAMES, {"name": 2.0, "stada": 0.5}, ASCII_MARITAL)
     return e.groupBy("seed_id").agg(F.round(F.max("score"), 6).alias("max_score"), F.round(F.avg("score"), 6).alias("mean_score"))
 
@@ -385,7 +398,7 @@ def embed_names(spark, root):
 
 
 _NAMES = [n for n in (
-    "link_min_seed link_intended link_one_seed uniqueness_score value_extremes name_value_counts column_ends block_pairs edit_caps distance_terms weighted_score accept_flags unassigned_rows "
+    "link_min_seed link_census link_intended link_one_seed uniqueness_score value_extremes name_value_counts column_ends block_pairs edit_caps distance_terms weighted_score accept_flags unassigned_rows "
     "cluster_sizes_offset cluster_history enrich_location_left downcast_fill self_reference singleton_split cluster_split_80_20 split_60_20_20 sample_fraction sample_n oversample_min20 "
     "positive_pairs negative_pairs pair_sanity all_pairs_small neighbour_pairs pair_counts cluster_histogram accuracy confusion adjusted_rand roc_points auc youden per_row_correct chunk_metrics "
     "match_adjacency majority_vote statements truth_revision pattern_match pool_train evidence_score_frozen evidence_success pool_rules one_hot label_encode standardize clean_tokens euclid_pairs "

@@ -108,3 +108,38 @@ def test_csv_round_trip(spark, tmp_path, rows):
     assert rows(got) == [(1, 1835, None, None, 4), (3, 1845, None, 6, 7)]
     write_csv(got.withColumn("l", F.array("bi_baer")), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
+
+
+def test_close_values_against_all_pairs(spark, rows):
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abð") for _ in range(r.randrange(0, 9))) for _ in range(150)} | {"", "x" * 3000, "x" * 2999 + "y"})
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = following(row, i, c, b)
+        return row[-1]
+
+    def following(prev, i, c, b):
+        cur = [i]
+        for j, d in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
+        return cur
+
+    short = [w for w in words if len(w) < 100]
+    for most in (1, 2):
+        want = {(a, b) for a in short for b in short if edits(a, b) <= most} | {(a, b) for a in words for b in words if len(a) == len(b) == 3000}
+        assert {tuple(x) for x in rows(linkage.close_values(df, most))} == want
+    assert linkage.close_values(df.limit(0), 2).count() == 0
+
+
+def test_capped_candidates_are_those_within_the_caps(spark, rows):
+    r = random.Random(6)
+    data = [(i, r.choice(["K", "L", None]), r.choice([None, 1800.0 + r.randrange(8) + r.choice([0, 0.5])]), r.choice(["Jon", "Jons", "Jan", "Anna", "Ana", "", None, "J"]), r.choice(["Ab", None]), r.choice(["Olafsson", "Olafson", "Petursson"])) for i in range(80)]
+    df = spark.createDataFrame(data, "id long, kyn string, faedingarar double, fornafn string, millinafn string, eftirnafn string")
+    ids = lambda p: rows(p.select("seed.id", "match.id"))
+    assert ids(linkage.capped_candidates(df)) == ids(linkage.within_caps(linkage.candidates(df)))
+    assert ids(linkage.capped_candidates(df, df.where("id < 9"))) == ids(linkage.within_caps(linkage.candidates(df, df.where("id < 9"))))
+    n = {x["seed"]: x["n"] for x in linkage.candidates(df).groupBy(F.col("seed.id").alias("seed")).agg(F.count("*").alias("n")).collect()}
+    assert {x["id"]: x["n_candidates"] for x in linkage.candidate_counts(df).collect()} == n
