@@ -52,7 +52,9 @@ class Canon:
     1. the entry of the longest name or alias mentioned in it, mentions taken longest first without overlap; the first
        of equally long ones. Case, accents, spaces and hyphens inside a name don't count, word limits do;
     2. of a word cut off with a full stop, the entry whose name begins so; among several entries the heaviest in `weight`;
-    3. the entry most similar to a set of neighbouring tokens by edit distance (`least` of the longer text at least);
+    3. the entry of the name whose set of tokens is most similar to the value's, `least` at least, tokens in any order: the
+       mean, by length, of how near in edits (of the longer one) each token of the name comes to a token of the value or to
+       up to `widest` neighbouring ones written as one; a name written as one word stands for its set too;
     4. else 0.
     """
 
@@ -61,12 +63,18 @@ class Canon:
 
         self.least, self.least_prefix, self.widest, self.weight = least, least_prefix, widest, weight or {}
         names: dict[str, int] = {}
+        sets: dict[str, tuple[str, ...]] = {}
         for entry, texts in entries:
             for text in texts:
                 key = self._key(text)
                 if key:
                     names.setdefault(key, entry)
+                    sets.setdefault(key, tuple(dict.fromkeys(t for t in map(self._key, _TOKEN.findall(folded(text))) if t)))
         self.names, self.ids = list(names), np.array(list(names.values()), dtype=np.int64)
+        # Texts that tokens of a value are held against, and the sets of names of several tokens as their places.
+        self.words = list(dict.fromkeys([*self.names, *(w for t in sets.values() for w in t)]))
+        place = {w: i for i, w in enumerate(self.words)}
+        self.sets = [(k, np.array([place[w] for w in sets[n]]), np.array([len(w) for w in sets[n]], dtype=np.float64)) for k, n in enumerate(self.names) if len(sets[n]) > 1]
         self.automaton = ahocorasick.Automaton()
         for k, name in enumerate(self.names):
             self.automaton.add_word(name, (len(name), k))
@@ -118,20 +126,24 @@ class Canon:
     def _similar(self, texts: list[str]) -> list[int]:
         spans = [self._windows(t) for t in texts]
         every = sorted({w for s in spans for w in s}, key=lambda w: (len(w), w))
-        best: dict[str, tuple[float, int]] = {}
-        lengths = np.array([len(n) for n in self.names], dtype=np.float64)
+        at = {w: i for i, w in enumerate(every)}
+        near = np.zeros((len(every), len(self.words)), dtype=np.float32)
+        lengths = np.array([len(n) for n in self.words], dtype=np.float32)
         for lo in range(0, len(every), 256):
             part = every[lo : lo + 256]
-            d = edit_distances(part, self.names)
-            longer = np.maximum(np.array([len(w) for w in part], dtype=np.float64)[:, None], lengths[None, :])
-            sim = 1 - d / longer
-            k = sim.argmax(axis=1)
-            for i, w in enumerate(part):
-                best[w] = (float(sim[i, k[i]]), int(self.ids[k[i]]))
+            own = np.array([len(w) for w in part], dtype=np.float32)[:, None]
+            for k in range(0, len(self.words), 1024):
+                near[lo : lo + 256, k : k + 1024] = 1 - edit_distances(part, self.words[k : k + 1024]) / np.maximum(own, lengths[None, k : k + 1024])
+        whole = near[:, : len(self.names)]
+        best = whole.argmax(axis=1) if self.names else np.zeros(len(every), dtype=np.int64)
         out = []
         for s in spans:
-            top = max((best[w] + (len(w),) for w in s), key=lambda x: (x[0], x[2], -x[1]), default=(0.0, 0, 0))
-            out.append(top[1] if top[0] >= self.least else 0)
+            rows = [at[w] for w in s]
+            top = max(((float(whole[i, best[i]]), len(every[i]), -int(self.ids[best[i]])) for i in rows), default=(0.0, 0, 0))
+            for k, words, size in self.sets if rows else ():
+                each = near[rows][:, words].max(axis=0)
+                top = max(top, (float((each * size).sum() / size.sum()), int(size.sum()), -int(self.ids[k])))
+            out.append(-top[2] if top[0] >= self.least else 0)
         return out
 
     def map(self, values: list[str]) -> list[int]:
@@ -146,7 +158,9 @@ class Canon:
             else:
                 self.known[v] = hit
         if rest:
-            self.known.update(zip(rest, self._similar(list(rest.values()))))
+            texts = list(rest.values())
+            found = [x for lo in range(0, len(texts), 512) for x in self._similar(texts[lo : lo + 512])]
+            self.known.update(zip(rest, found))
         out = [self.known[v] for v in values]
         if len(self.known) > 500_000:  # bounds the worker's memory; a value met again is only worked out again
             self.known.clear()

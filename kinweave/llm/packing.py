@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.tokens import TOKENIZER, encoder, vocabulary
@@ -122,41 +123,58 @@ class Shard:
         return container
 
 
-def _filled(capacity: int, idf: np.ndarray):
+_PACKED = "container_id bigint, doc_id bigint, piece int, n_tokens int, salt int, terms binary, tfs binary"
+
+
+def _filled(capacity: int, idf: np.ndarray, good: float, turn: int):
+    """Items of a shard (doc_id, salt, n_tokens, piece, terms, tfs) in containers. In containers that are not `good` full,
+    items keep their terms, by which they may be packed again. turn: told apart in container_id."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
         doc, n = t.column("doc_id").to_numpy(), t.column("n_tokens").to_numpy()
         order = np.lexsort((t.column("salt").to_numpy(), doc))
-        doc, n = doc[order], n[order]
-        terms = [np.frombuffer(x, "<u4") for x in t.column("terms").take(pa.array(order)).to_pylist()]
-        tfs = [np.frombuffer(x, "<u2") for x in t.column("tfs").take(pa.array(order)).to_pylist()]
+        t = t.take(pa.array(order)).combine_chunks()
+        doc, n, salt, of = (t.column(c).to_numpy() for c in ("doc_id", "n_tokens", "salt", "piece"))
+        bytes_of, counts_of = t.column("terms").combine_chunks(), t.column("tfs").combine_chunks()
+        terms = [np.frombuffer(x, "<u4") for x in bytes_of.to_pylist()]
+        tfs = [np.frombuffer(x, "<u2") for x in counts_of.to_pylist()]
         whole, rest = n // capacity, n % capacity
         left = np.flatnonzero(rest)
         shard = Shard(rest[left].astype(np.int64), [terms[i] for i in left], [tfs[i] for i in left], idf)
         packed = shard.fill(capacity)
         used = int(packed.max(initial=-1)) + 1
+        poor = (np.bincount(packed, weights=rest[left], minlength=used) < good * capacity)[packed] if used else np.zeros(0, dtype=bool)
         piece = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
         full = np.repeat(np.arange(len(n)), whole)
         rows = np.concatenate([left, full])
-        base = int(key[0].as_py() if hasattr(key[0], "as_py") else key[0]) << 32
+        base = ((int(key[0].as_py() if hasattr(key[0], "as_py") else key[0]) << 1) + turn) << 32
+        again = pa.array(np.where(np.concatenate([poor, np.zeros(len(full), dtype=bool)]), rows, -1))
+        again = pc.if_else(pc.greater_equal(again, 0), again, None)
         return pa.table({
             "container_id": pa.array(base + np.concatenate([packed, used + np.arange(len(full))])),
             "doc_id": pa.array(doc[rows]),
-            "piece": pa.array(np.concatenate([whole[left], piece]).astype(np.int32)),
+            "piece": pa.array(np.concatenate([(of + whole)[left], piece]).astype(np.int32)),
             "n_tokens": pa.array(np.concatenate([rest[left], np.full(len(full), capacity)]).astype(np.int32)),
+            "salt": pa.array(salt[rows]),
+            "terms": bytes_of.take(again),
+            "tfs": counts_of.take(again),
         })
 
     return run
 
 
-def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, tokenizer: str = TOKENIZER, shard_items: int = 4096, common: float = 0.05) -> DataFrame:
+def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, tokenizer: str = TOKENIZER, shard_items: int = 4096, common: float = 0.05, known: int = 8, good: float = 0.97) -> DataFrame:
     """(container_id, doc_id, piece, n_tokens): every text with tokens, assigned to a container of `capacity` tokens.
 
     A text longer than a container is cut into whole containers and a rest (`piece` counts from 0); no other is divided.
     Rows are items: a repeated row is packed again. Rows with a NULL key, and NULL and empty texts, which need no room, are
     left out. Other columns are ignored; an empty table gives an empty result.
 
-    Items are spread by hash over shards of about `shard_items`, which bounds a task whatever the data. Each shard builds an
-    inverted index of its items; each seed's best BM25 neighbours not yet used fill its container. The terms are the
+    Items are spread by content over shards of about `shard_items`, which bounds a task whatever the data: by the term that
+    says most in a text among those that stand in `known` texts at least (of two, else), since texts on one matter share it; terms
+    fill shards in turn, and one of more items than a shard takes is divided by the next such term. Each shard builds an
+    inverted index of its items; each seed's best BM25 neighbours not yet used fill its container. What lies in containers that
+    are not `good` full is packed once more, in shards by hash, where sizes are more mixed. The terms are the
     tokenizer's tokens. Their document frequencies are counted over all texts; they are at most as many as the vocabulary
     has entries, so that they can be sent to all shards. Tokens in more than `common` of all texts carry no weight.
     """
@@ -178,7 +196,48 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
     real = counts[counts.term >= 0]
     df[real.term.to_numpy()] = real.n.to_numpy()
     idf = np.where((df > 0) & (df <= max(common * texts, 1)), np.log1p((texts - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
-    shards = max(1, -(-texts // shard_items))
-    shard = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(shards)).alias("shard")
-    items = kept.where("doc_id is not null").select(shard, "doc_id", "salt", "n_tokens", "terms", "tfs")
-    return items.groupBy("shard").applyInArrow(_filled(capacity, idf), "container_id bigint, doc_id bigint, piece int, n_tokens int").withColumnRenamed("doc_id", key)
+    told = np.where(df >= known, idf, 0.0), np.where(df >= 2, idf, 0.0)
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leads = [_leads(np.frombuffer(t, "<u4"), np.frombuffer(f, "<u2"), told) for t, f in zip(b.column("terms").to_pylist(), b.column("tfs").to_pylist())]
+            one, two = (pa.array([x[k] for x in leads], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, one, two], names=[*b.schema.names, "lead", "next"])
+
+    items = kept.where("doc_id is not null").mapInArrow(led, "doc_id bigint, salt int, n_tokens bigint, terms binary, tfs binary, lead int, next int")
+    items = scratch.keep(items)
+    # At most as many terms as the vocabulary has: which shard each begins in, and how many it takes.
+    n = items.groupBy("lead").agg(F.count("*").alias("n")).orderBy("lead").toPandas()
+    parts = np.maximum(1, -(-n.n.to_numpy() // shard_items)).astype(np.int64)
+    first, at, filled = np.zeros(len(n), dtype=np.int64), 0, 0
+    for i, (size, of) in enumerate(zip(n.n.tolist(), parts.tolist())):
+        if filled and filled + size > shard_items:
+            at, filled = at + 1, 0
+        first[i] = at
+        if of > 1:
+            at, filled = at + of, 0
+        else:
+            filled += size
+    plan = F.broadcast(spark.createDataFrame(list(zip(n.lead.tolist(), first.tolist(), parts.tolist())), "lead int, first long, parts long"))
+    # Texts without such a term are divided by their own hash.
+    split = F.when((F.col("lead") < 0) | (F.col("next") < 0), F.xxhash64("doc_id", "salt")).otherwise(F.xxhash64("next"))
+    columns = ["doc_id", "salt", "n_tokens", "piece", "terms", "tfs"]
+    items = items.join(plan, "lead").withColumn("piece", F.lit(0)).select((F.col("first") + F.pmod(split, F.col("parts"))).alias("shard"), *columns)
+    packed = scratch.keep(items.groupBy("shard").applyInArrow(_filled(capacity, idf, good, 0), _PACKED))
+    poor = packed.where("terms is not null")
+    shards = max(1, -(-poor.count() // shard_items))
+    poor = poor.withColumn("n_tokens", F.col("n_tokens").cast("long")).select(F.pmod(F.xxhash64("doc_id", "salt"), F.lit(shards)).alias("shard"), *columns)
+    packed = packed.where("terms is null").unionByName(poor.groupBy("shard").applyInArrow(_filled(capacity, idf, 0.0, 1), _PACKED))
+    return packed.select("container_id", F.col("doc_id").alias(key), "piece", "n_tokens")
+
+
+def _leads(terms: np.ndarray, tfs: np.ndarray, told: tuple[np.ndarray, ...]) -> tuple[int, int]:
+    """The two terms that say most in a text, -1 where there is none."""
+    for weight in told:
+        w = weight[terms] * tfs / (tfs + 1.2)
+        if len(w) and w.max() > 0:
+            one = int(w.argmax())
+            lead, w[one] = int(terms[one]), 0.0
+            two = int(w.argmax())
+            return lead, int(terms[two]) if w[two] > 0 else -1
+    return -1, -1

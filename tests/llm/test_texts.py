@@ -103,6 +103,11 @@ def test_canon():
     assert Canon([]).map(["vinnumaður"]) == [0]
 
 
+def test_sets_of_tokens_in_any_order():
+    canon = Canon([(1, ["Barn húsráðanda"]), (2, ["Vinnumaður"]), (3, ["Húsbóndi"])])
+    assert canon.map(["husradenda barn", "barm husradanda", "vinumaður hér", "husradenda", "xx yy"]) == [1, 1, 2, 1, 0]
+
+
 def test_map_to_canon(spark, rows):
     listed = spark.createDataFrame([(i, n, a, "x") for i, n, a in LIST], "stada_id int, cleaned_status string, onnur_heiti string, stada string")
     data = [(1, "griðmaður", None), (1, "griðmaður", ""), (2, "háseti", "Háseti"), (3, None, None), (4, "NaN", None), (5, "draugafæla", "NaN"), (None, "háseti", None), (6, "", None)]
