@@ -109,19 +109,18 @@ def name_variants(rows: DataFrame, called: DataFrame, places: DataFrame | None =
     censuses = censuses_of(rows)
     made = cells(rows, censuses, F.nullif(F.col("bi_einstaklingur").cast("long"), F.lit(0)), scratch, None if places is None else parishes(places)).where("not plural")
     calls = call_names(called, established(made.select("words")))
-    blocked = made.select(*CELL).mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition("key").sortWithinPartitions("key", "fit")
+    blocked = made.select(*CELL).mapInArrow(key_rows(calls, 0, "next"), ROWS).repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "fit")
     found = blocked.mapInArrow(compared(calls, _judged, False), "a bigint, b bigint, met_a int, met_b int, equal boolean, odds double")
     edges = scratch.keep(found.groupBy(*EDGE[:-1]).agg(F.max("odds").alias("odds")))
     accepted = scratch.keep(contested(edges, len(censuses)).where(F.col("p") >= least))
-    labels = scratch.keep(propagate_labels(accepted, "a", "b").select(F.col("node").alias("cell"), "component"))
-    # Only components with a pair of two spellings have records to tell.
-    at = accepted.join(labels.withColumnRenamed("cell", "a"), "a")
-    told = at.groupBy("component").agg(F.min("equal").alias("equal")).where("not equal").select("component")
-    whole = made.join(labels.join(told, "component"), "cell").select("cell", "component", "met", "spelt", "person_lo", "person_hi", "ids", "bits", "persons")
-    several = F.sum(F.bit_count("met")) > F.bit_count(F.expr("bit_or(met)"))
-    persons = F.coalesce(F.min(F.nullif("person_lo", F.lit(0))) != F.max(F.nullif("person_hi", F.lit(0))), F.lit(False))
+    labels = propagate_labels(accepted, "a", "b").select(F.col("node").alias("cell"), "component")
+    of = Window.partitionBy("component")
+    several = F.sum(F.bit_count("met")).over(of) > F.bit_count(F.expr("bit_or(met)").over(of))
+    persons = F.coalesce(F.min(F.nullif("person_lo", F.lit(0))).over(of) != F.max(F.nullif("person_hi", F.lit(0))).over(of), F.lit(False))
+    whole = made.join(labels, "cell").select("cell", "component", "met", "spelt", "person_lo", "person_hi", "ids", "bits", "persons")
+    # Only components of two spellings have records to tell.
+    whole = whole.withColumns({"clash": several | persons, "told": F.min("spelt").over(of) != F.max("spelt").over(of)}).where("told").drop("told")
     whole = scratch.keep(whole)
-    whole = scratch.keep(whole.join(whole.groupBy("component").agg((several | persons).alias("clash")), "component"))
     clash = whole.where("clash").select("cell", "component", "met", F.when(F.col("person_lo") == F.col("person_hi"), F.col("person_lo")).otherwise(0).alias("person"))
     ends = [clash.select(F.col("cell").alias(x), F.col("met").alias(f"met_{x}"), F.col("person").alias(f"person_{x}"), *(["component"] if x == "a" else [])) for x in "ab"]
     cut = accepted.join(ends[0], "a").join(ends[1], "b").select("component", "p", "a", "b", "met_a", "met_b", "person_a", "person_b")
