@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinweave.functions.compare import clean_name, words
+from kinweave.operators.prepare import row_positions
 from kinweave.runtime import small_side
 
 
@@ -30,8 +31,8 @@ def one_hot(df: DataFrame, column: str, limit: int = 50) -> DataFrame:
 def label_encoded(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Codes from 0 in sorted order, NULL last. Ranks are given to the distinct values and joined back."""
     values = df.select(column).distinct()
-    code = (F.row_number().over(Window.orderBy(F.asc_nulls_last(column))) - 1).cast("long")
-    codes = small_side(values.select(F.col(column).alias("_v"), code.alias(out or f"{column}_code")))
+    codes = row_positions(values.select(F.col(column).alias("_v"), F.col(column).isNull().alias("_none")), ["_none", "_v"], out or f"{column}_code").drop("_none")
+    codes = small_side(codes)
     return df.join(codes, df[column].eqNullSafe(codes["_v"])).drop("_v")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from kinweave.operators.prepare import running_sums
 
 
 def _known(df: DataFrame, *columns: str) -> DataFrame:
@@ -42,19 +44,17 @@ def adjusted_rand(df: DataFrame, label: str = "label", predicted: str = "predict
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr) for each distinct score, from the highest down; the window runs over distinct scores."""
+    """(threshold, tp, fp, tpr, fpr) for each distinct score, from the highest down; sums run over ranges of the distinct scores."""
     g = _known(df, label, score).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
     total = F.broadcast(g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    at = g.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).crossJoin(total)
+    at = running_sums(g, F.desc("threshold"), ["p", "n"]).withColumnsRenamed({"p_upto": "tp", "n_upto": "fp"}).crossJoin(total)
     return at.select("threshold", "tp", "fp", (F.col("tp") / F.col("all_p")).alias("tpr"), (F.col("fp") / F.col("all_n")).alias("fpr"))
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the curve as the share of positive-negative pairs in the right order, ties half."""
     g = _known(df, label, score).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label).cast("double")).alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0.0)))
+    below = running_sums(g, "s", ["n"]).withColumn("below", F.col("n_upto") - F.col("n"))
     good = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("g"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return good.select((F.col("g") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
 

@@ -70,18 +70,29 @@ def vote(train: DataFrame, test: DataFrame, models: Mapping[str, Pipeline], key:
     return scored.select(*key, F.col("label").cast("int").alias("label"), F.bround(total / len(names), 0).cast("int").alias("predicted"))
 
 
-def nearest_vote(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def nearest_vote(points: DataFrame, queries: DataFrame, k: int = 5, block: int = 10_000) -> DataFrame:
     """(id, predicted): the majority label of the k nearest labelled points (id, label, features as arrays).
 
-    Exact: the queries are few by contract (at most 10,000) and go to every block of points, where distances are one matrix
-    product; each block sends on its k nearest of each query only.
+    Exact: about `block` queries at a time go to every batch of points, where distances are one matrix product; each batch
+    sends on its k nearest of each query only.
     """
+    turns = max(1, -(-queries.count() // block))
+    best = None
+    for turn in range(turns):
+        some = _nearest(points, queries.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn), k)
+        best = some if best is None else best.unionByName(some)
+    w = Window.partitionBy("id").orderBy("d", "other")
+    top = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    n = top.groupBy("id", "label").agg(F.count("*").alias("n"))
+    return n.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("l"))).alias("b")).select("id", (-F.col("b.l")).alias("predicted"))
+
+
+def _nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, other, label, d): of every batch of points the k nearest to each query, itself left out; d is the squared distance."""
     import numpy as np
     import pyarrow as pa
 
-    q = queries.select("id", "features").limit(10_001).collect()
-    if len(q) > 10_000:
-        raise ValueError("more than 10,000 queries")
+    q = queries.select("id", "features").collect()
     ids, m = np.array([r[0] for r in q]), np.array([r[1] for r in q], dtype=np.float64)
 
     def near(batches):
@@ -95,11 +106,7 @@ def nearest_vote(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
                 i = np.argpartition(d, n - 1, axis=1)[:, :n]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 500], n)), pa.array(pid[i].reshape(-1)), pa.array(label[i].reshape(-1).astype(np.int32)), pa.array(np.take_along_axis(d, i, 1).reshape(-1))], names=["id", "other", "label", "d"])
 
-    best = points.select("id", "label", "features").mapInArrow(near, "id bigint, other bigint, label int, d double").where(F.col("d") < float("inf"))
-    w = Window.partitionBy("id").orderBy("d", "other")
-    top = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
-    n = top.groupBy("id", "label").agg(F.count("*").alias("n"))
-    return n.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("l"))).alias("b")).select("id", (-F.col("b.l")).alias("predicted"))
+    return points.select("id", "label", "features").mapInArrow(near, "id bigint, other bigint, label int, d double").where(F.col("d") < float("inf"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -107,3 +107,23 @@ def row_positions(df: DataFrame, order: Sequence[str], out: str = "row_pos") ->
     start = F.broadcast(spark.createDataFrame(offsets, "_p int, _at long"))
     w = Window.partitionBy("_p").orderBy(*order)
     return kept.join(start, "_p").withColumn(out, (F.row_number().over(w) - 1 + F.col("_at")).cast("long")).drop("_p", "_at")
+
+
+def running_sums(df: DataFrame, order: Column | str, columns: Sequence[str], suffix: str = "_upto") -> DataFrame:
+    """Sums of `columns` from the first row of a global order to each row, itself included, without a task that holds all
+    rows: rows are range-partitioned, summed per partition, and go on from what the partitions before hold. Order values are
+    distinct."""
+    from kinweave.runtime import Scratch
+
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    kept = Scratch(df.sparkSession, "sums").keep(ranged)  # kept, so that both passes see the same ranges
+    parts = kept.groupBy("_p").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("_p").collect()  # a row a partition
+    before, rows = [0] * len(columns), []
+    for r in parts:
+        rows.append((r["_p"], *before))
+        before = [x + (r[c] or 0) for x, c in zip(before, columns)]
+    kinds = dict(kept.dtypes)
+    kind = {c: "double" if kinds[c] in ("double", "float") else "long" for c in columns}
+    start = F.broadcast(df.sparkSession.createDataFrame([(p, *[float(x) if kind[c] == "double" else int(x) for x, c in zip(v, columns)]) for p, *v in rows], ", ".join(["_p int", *[f"_at_{c} {kind[c]}" for c in columns]])))
+    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.join(start, "_p").withColumns({f"{c}{suffix}": F.sum(c).over(w) + F.col(f"_at_{c}") for c in columns}).drop("_p", *[f"_at_{c}" for c in columns])

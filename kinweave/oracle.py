@@ -95,6 +95,11 @@ def sql() -> dict[str, str]:
         "value_extremes": f"WITH e AS (SELECT unnest([{{'f': 'nafn', 'v': nafn}}, {{'f': 'fornafn', 'v': fornafn}}, {{'f': 'eftirnafn', 'v': eftirnafn}}, {{'f': 'kyn', 'v': kyn}}, {{'f': 'stada', 'v': stada}}]) AS s FROM {_CENSUS}), n AS (SELECT s.f AS field, s.v AS v, count(*) AS n FROM e WHERE s.v IS NOT NULL GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY field) AS hi, min(n) OVER (PARTITION BY field) AS lo FROM n) SELECT field, hi AS max_n, lo AS min_n, count(*) FILTER (WHERE n = hi) AS max_ties, count(*) FILTER (WHERE n = lo) AS min_ties, min(v) FILTER (WHERE n = hi) AS max_value, min(v) FILTER (WHERE n = lo) AS min_value FROM m GROUP BY field, hi, lo",
         "name_value_counts": f"SELECT fornafn AS value, count(*) AS n FROM {_CENSUS} WHERE fornafn IS NOT NULL GROUP BY 1",
         "column_ends": f"SELECT max(score) AS max_score, min(score) AS min_score, quantile_cont(score, 0.5) AS median_score, count(DISTINCT id_individual) AS n_individuals, count(*) AS n_rows FROM {_PREDICTED}",
+        "nearest_neighbours": """
+WITH d AS (SELECT q.vec_id AS id, p.vec_id AS other, p.label, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM d),
+c AS (SELECT id, label, count(*) AS n FROM t WHERE n <= 5 GROUP BY id, label)
+SELECT id, CAST(arg_max(label, n * 1000000 - label) AS INTEGER) AS predicted FROM c GROUP BY id""",
         "block_pairs": f"WITH {REC_PARTS_SQL} SELECT a.id, count(*) AS n_candidates FROM rec a JOIN rec b ON {_NEAR} GROUP BY a.id",
         "edit_caps": f"WITH {REC_PARTS_SQL} SELECT a.id, count(*) AS n_candidates FROM rec a JOIN rec b ON {_NEAR} WHERE {_CAPS} GROUP BY a.id",
         "distance_terms": _edges() + "SELECT seed_id, CAST(sum(name) AS DOUBLE) AS name, CAST(sum(age) AS DOUBLE) AS age, CAST(sum(location) AS DOUBLE) AS location, CAST(sum(marital) AS DOUBLE) AS marital, round(CAST(sum(stada) AS DOUBLE), 6) AS stada FROM e GROUP BY seed_id",

@@ -122,7 +122,7 @@ def test_components_and_models(spark, tmp_path):
     wide = df.select("id", *[F.col("features")[k].alias(f"x{k}") for k in range(3)])
     out, shares = features.principal_components(wide, ["x0", "x1", "x2"])
     assert len(shares) == 1 and shares[0] > 0.95 and out.count() == 120
-    near = {q["id"]: q["predicted"] for q in models.nearest_vote(df, df).collect()}
+    near = {q["id"]: q["predicted"] for q in models.nearest_vote(df, df, block=7).collect()}
     assert all(near[i] == y for i, y, _ in data)
     d = df.withColumn("features_1", F.col("features")).withColumn("features_2", F.col("features")).withColumn("id_1", F.col("id")).withColumn("id_2", F.col("id")).drop("features")
     d = models.as_features(d)
@@ -134,3 +134,21 @@ def test_components_and_models(spark, tmp_path):
     models.save_model(fitted, str(tmp_path / "m"))
     assert models.load_model(str(tmp_path / "m")).transform(d).where("label <> prediction").count() == 0
     assert models.vote(d, d, pick).where("label <> predicted").count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    from kinweave.operators.prepare import running_sums
+
+    r = random.Random(8)
+    data = [(i, r.randrange(-5, 9), r.random()) for i in range(500)]
+    df = spark.createDataFrame(data, "k long, n long, x double").repartition(7)
+    up, down = 0, 0
+    got = {q["k"]: q for q in running_sums(df, "k", ["n", "x"]).collect()}
+    back = {q["k"]: q for q in running_sums(df, F.desc("k"), ["n"]).collect()}
+    for k, n, _ in data:
+        up += n
+        assert got[k]["n_upto"] == up and abs(got[k]["x_upto"] - sum(x for i, _, x in data if i <= k)) < 1e-9
+    for k, n, _ in reversed(data):
+        down += n
+        assert back[k]["n_upto"] == down
+    assert running_sums(df.limit(0), "k", ["n"]).count() == 0
