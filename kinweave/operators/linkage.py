@@ -77,6 +77,19 @@ def capped_candidates(records: DataFrame, seeds: DataFrame | None = None, caps:
     return within_caps(pairs, {c: m for c, m in caps.items() if c != by})
 
 
+def capped_counts(records: DataFrame, caps: Mapping[str, int] = CAPS, years: int = 2, same: str = "kyn", key: str = "id") -> DataFrame:
+    """(key, n_candidates): how many of the pairs of capped_candidates() a record has, by sums over the groups of records that
+    agree in all that is compared and not over pairs of records."""
+    by = [same, "faedingarar", *caps]
+    groups = Scratch(records.sparkSession, "counts").keep(records.where(F.col(same).isNotNull() & F.col("faedingarar").isNotNull()).groupBy(*by).agg(F.count("*").alias("n")))
+    met = capped_candidates(groups, caps=caps, years=years, same=same)
+    each = met.groupBy(*[F.col(f"seed.{c}").alias(f"_{c}") for c in by]).agg(F.sum("match.n").alias("n_candidates"))
+    on = F.lit(True)
+    for c in by:
+        on &= records[c].eqNullSafe(F.col(f"_{c}"))
+    return records.join(small_side(each), on).select(key, "n_candidates")
+
+
 def within_caps(pairs: DataFrame, caps: Mapping[str, int] = CAPS) -> DataFrame:
     for c, most in caps.items():
         pairs = pairs.where(edits_within(F.col(f"seed.{c}"), F.col(f"match.{c}"), most))

@@ -86,8 +86,8 @@ def block_pairs(spark, root):
 
 
 def edit_caps(spark, root):
-    p = linkage.capped_candidates(rec_parts(spark, root))
-    return p.groupBy(F.col("seed.id").alias("id")).agg(F.count("*").alias("n_candidates"))
+    """How many candidates every record has within the edit caps."""
+    return linkage.capped_counts(rec_parts(spark, root))
 
 
 def distance_terms(spark, root):

@@ -143,3 +143,14 @@ def test_capped_candidates_are_those_within_the_caps(spark, rows):
     assert ids(linkage.capped_candidates(df, df.where("id < 9"))) == ids(linkage.within_caps(linkage.candidates(df, df.where("id < 9"))))
     n = {x["seed"]: x["n"] for x in linkage.candidates(df).groupBy(F.col("seed.id").alias("seed")).agg(F.count("*").alias("n")).collect()}
     assert {x["id"]: x["n_candidates"] for x in linkage.candidate_counts(df).collect()} == n
+
+
+def test_counts_within_the_caps_by_groups(spark):
+    r = random.Random(7)
+    data = [(i, r.choice(["K", "L", None]), r.choice([None, 1800.0 + r.randrange(6)]), r.choice(["Jon", "Jons", "Anna", "", None]), r.choice(["Ab", None]), r.choice(["Olafsson", "Petursson"])) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, kyn string, faedingarar double, fornafn string, millinafn string, eftirnafn string")
+    n = {x["id"]: x["n"] for x in linkage.within_caps(linkage.candidates(df)).groupBy(F.col("seed.id").alias("id")).agg(F.count("*").alias("n")).collect()}
+    assert {x["id"]: x["n_candidates"] for x in linkage.capped_counts(df).collect()} == n
+    # No row of pairs: half a million records of one name are counted as one.
+    many = spark.range(500_000).selectExpr("id", "'K' AS kyn", "1800.0D AS faedingarar", "'Jon' AS fornafn", "'' AS millinafn", "'Olafsson' AS eftirnafn")
+    assert linkage.capped_counts(many).agg(F.sum("n_candidates")).first()[0] == 500_000**2
