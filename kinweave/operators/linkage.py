@@ -14,6 +14,10 @@ CAPS = {"fornafn": 2, "millinafn": 8, "eftirnafn": 4}
 #: Below this score an edge may hold; a seed's uniqueness times it is the bound for its census; the cap beyond. Fixed values.
 HOLDS, WIDEST = 10, 20
 TERMS = ("name", "age", "location", "marital", "stada")
+#: Units from the narrowest on, and what each one more that differs costs.
+UNITS, STEP = ("bi_baer", "bi_sokn", "bi_hreppur", "bi_sysla"), 5
+#: Years of birth of one block, and records from which a block is divided by names.
+BLOCK_YEARS, LARGE = 8, 2_000
 
 
 def candidates(records: DataFrame, seeds: DataFrame | None = None, years: int = 2, same: str = "kyn") -> DataFrame:
@@ -153,10 +157,82 @@ def greedy_cover(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return first_seed(e.join(active, "seed_id", "left_semi"))
 
 
+def near_edges(records: DataFrame, transitions: DataFrame, names: Sequence[str], marital: Marital = Marital(), caps: Mapping[str, int] = CAPS, seeds: DataFrame | None = None, years: int = 2, same: str = "kyn") -> DataFrame:
+    """(seed_id, seed_u, match_id, manntal, score): of the candidates within the caps those that decide what accepted() holds,
+    which are the scores below 10 (below 10 times the largest uniqueness, if that is more).
+
+    No term but the transition's is negative, so such a score is only reached in a common unit (two missing ones agree) up to a
+    width that follows from the least transition. Records meet in blocks of that unit, the sex and some years of birth; a narrower
+    unit makes a block of its own only where its records are in several of the wider one. Large blocks are divided by the
+    values close to a seed's in the column of the least cap.
+    """
+    scratch = Scratch(records.sparkSession, "near")
+    by = min(caps, key=lambda c: caps[c])
+    used = list(dict.fromkeys(["id", "uniqueness_score", "manntal", "faedingarar", same, *UNITS, "hjuskapur", "stada_group", *names, *caps]))
+    known = lambda df: df.select(*used).where(F.col(same).isNotNull() & F.col("faedingarar").isNotNull())
+    match = scratch.keep(known(records))
+    seed = match if seeds is None else scratch.keep(known(seeds))
+    least = transitions.agg(F.min("score")).first()[0]
+    top = seed.agg(F.max("uniqueness_score")).first()[0]
+    bound = HOLDS * max(1.0, top or 0.0)
+    within = [k for k in range(len(UNITS)) if STEP * k + min(0.0, least or 0.0) < bound]
+    # Beyond the last unit records agree in none.
+    units = [] if STEP * len(UNITS) + min(0.0, least or 0.0) < bound else [UNITS[k] for k in within]
+    block = lambda level, value, year: F.xxhash64(F.lit(level), value, F.col(same), year)
+    year = lambda d: F.floor((F.floor("faedingarar") + d) / BLOCK_YEARS)
+
+    def placed(df: DataFrame) -> DataFrame:
+        """The rows once for each level (from 0, the widest unit) that they may first meet at, with the value of the unit."""
+        if not units:
+            return df.withColumns({"level": F.lit(0), "unit": F.lit(0).cast("string")})
+        widest = F.col(units[-1]).cast("string")
+        out = df.withColumns({"level": F.lit(0), "unit": widest})
+        for k, u in enumerate(reversed(units[:-1]), 1):
+            # Missing values count as a unit of their own.
+            told = match.select(u, units[-1]) if seed is match else match.select(u, units[-1]).unionByName(seed.select(u, units[-1]))
+            split = told.groupBy(F.col(u).alias("_u")).agg(F.min(units[-1]).alias("lo"), F.max(units[-1]).alias("hi"), F.max(F.col(units[-1]).isNull()).alias("gone"))
+            split = scratch.keep(split.where("lo <> hi or (gone and lo is not null)").select("_u"))
+            out = out.unionByName(df.join(small_side(split), df[u].eqNullSafe(split["_u"]), "left_semi").withColumns({"level": F.lit(k), "unit": F.col(u).cast("string")}))
+        return out
+
+    right = placed(match).withColumn("block", block(F.col("level"), "unit", year(0)))
+    hot = scratch.keep(right.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("block", F.lit(True).alias("hot")))
+    text = F.coalesce(F.col(by), F.lit(""))
+    right = right.join(small_side(hot), "block", "left")
+    left = placed(seed).withColumn("_y", F.explode(F.sequence(year(-years), year(years)))).withColumn("block", block(F.col("level"), "unit", F.col("_y")))
+    left = left.join(small_side(hot), "block", "left")
+    # A seed may enter a large block of years before or after its own.
+    values = right.where("hot").select(text.alias("v")).unionByName(left.where("hot").select(text.alias("v")))
+    close = small_side(scratch.keep(close_values(values, caps[by])))
+    packed = lambda df, side, key: df.select(key.alias("key"), "level", F.struct(*used).alias(side))
+    cut = lambda c: F.xxhash64("block", c)
+    lefts = packed(left.where("hot is null"), "seed", F.col("block")).unionByName(packed(left.where("hot").withColumn("a", text).join(close, "a"), "seed", cut("b")))
+    rights = packed(right, "match", F.when(F.col("hot"), cut(text)).otherwise(F.col("block")))
+    # Hashes only bring rows together: all that they stand for is compared.
+    alike = F.col(f"seed.{same}") == F.col(f"match.{same}")
+    alike &= F.abs(F.col("seed.faedingarar") - F.col("match.faedingarar")) <= years
+    agree = [F.col(f"seed.{u}").eqNullSafe(F.col(f"match.{u}")) for u in reversed(units)]
+    first = F.lit(False) if units else F.lit(True)
+    for k, x in enumerate(agree):
+        first = first | ((F.col("level") == k) & x & ~F.greatest(F.lit(False), F.lit(False), *agree[:k]))
+    pairs = lefts.join(rights, ["key", "level"]).where(alike & first).select("seed", "match")
+    edges = scored(within_caps(pairs, caps), transitions, names, marital=marital)
+    return edges.where(F.col("score") < bound).select("seed_id", "seed_u", "match_id", "manntal", "score")
+
+
 def link(records: DataFrame, transitions: DataFrame, names: Sequence[str], mode: str = "first_seed", marital: Marital = Marital(), caps: Mapping[str, int] = CAPS, seeds: DataFrame | None = None) -> DataFrame:
-    """Whole linkage; records has uniqueness_score. mode: first_seed or greedy_cover."""
-    edges = accepted(scored(capped_candidates(records, seeds, caps), transitions, names, marital=marital))
-    return greedy_cover(edges) if mode == "greedy_cover" else first_seed(edges)
+    """Whole linkage; records has uniqueness_score. mode: first_seed or greedy_cover.
+
+    Without given seeds, records that agree in all that is judged are linked as one, by the least id: they have the same edges,
+    so if any of them is a seed that holds, the least one is, and all go to the same seed.
+    """
+    cover = greedy_cover if mode == "greedy_cover" else first_seed
+    if seeds is not None:
+        return cover(accepted(near_edges(records, transitions, names, marital, caps, seeds)))
+    by = list(dict.fromkeys(["uniqueness_score", "manntal", "faedingarar", "kyn", *UNITS, "hjuskapur", "stada_group", *names, *caps]))
+    one = Scratch(records.sparkSession, "same").keep(records.groupBy(*by).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
+    out = cover(accepted(near_edges(one, transitions, names, marital, caps)))
+    return out.join(one.select(F.col("id").alias("match_id"), "ids"), "match_id").select(F.explode("ids").alias("match_id"), "id_individual", "score")
 
 
 def same_person_flag(pairs: DataFrame) -> Column:

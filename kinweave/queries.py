@@ -33,12 +33,17 @@ def _edges(spark: SparkSession, root: str) -> DataFrame:
     return linkage.scored(pairs, transitions(spark, root), PART_NAMES, marital=ASCII_MARITAL)
 
 
+def _linked(spark: SparkSession, root: str, mode: str) -> DataFrame:
+    out = linkage.link(rec_parts_unique(spark, root), transitions(spark, root), PART_NAMES, mode, ASCII_MARITAL)
+    return out.withColumn("score", F.round("score", 6))
+
+
 def link_min_seed(spark, root):
-    return linkage.first_seed(linkage.accepted(_edges(spark, root))).withColumn("score", F.round("score", 6))
+    return _linked(spark, root, "first_seed")
 
 
 def link_intended(spark, root):
-    return linkage.greedy_cover(linkage.accepted(_edges(spark, root))).withColumn("score", F.round("score", 6))
+    return _linked(spark, root, "greedy_cover")
 
 
 def link_one_seed(spark, root):

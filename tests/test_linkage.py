@@ -154,3 +154,42 @@ def test_counts_within_the_caps_by_groups(spark):
     # No row of pairs: half a million records of one name are counted as one.
     many = spark.range(500_000).selectExpr("id", "'K' AS kyn", "1800.0D AS faedingarar", "'Jon' AS fornafn", "'' AS millinafn", "'Olafsson' AS eftirnafn")
     assert linkage.capped_counts(many).agg(F.sum("n_candidates")).first()[0] == 500_000**2
+
+
+LINKED = "id long, kyn string, faedingarar double, manntal int, nafn string, fornafn string, millinafn string, eftirnafn string, aettarnafn string, hjuskapur string, stada_group string, bi_baer long, bi_sokn long, bi_hreppur long, bi_sysla long, uniqueness_score double"
+
+
+def people(r, n):
+    out = []
+    for i in range(n):
+        f, e, farm = r.choice(["Jon", "Jons", "Anna", "Ana", None]), r.choice(["Olafsson", "Olafson", "Petursson"]), r.choice([1, 2, 3, 4, 5, 6, None])
+        units = (farm, *((farm // 2, farm // 3, farm // 6) if farm and r.random() < 0.9 else (r.choice([1, None]),) * 3))
+        out.append((i, r.choice("KKKL"), r.choice([None, 1800.0 + r.randrange(12) + r.choice([0, 0, 0.5])]), r.choice([1835, 1840]), f"{f} {e}", f, r.choice(["", None]), e, "", r.choice(["\u00d3", "G", None]), r.choice("ab"), *units, {"Jon": 0.3, "Anna": 0.9, None: None}.get(f, 1.0)))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.5, -4.95, -12.0])
+def test_linkage_by_blocks_is_that_of_all_pairs(spark, rows, monkeypatch, least):
+    """Blocks of units, large ones by names, and one record for all that are alike give what all pairs give."""
+    names = ["nafn", "fornafn", "millinafn", "eftirnafn", "aettarnafn"]
+    data = people(random.Random(8), 120)
+    df = spark.createDataFrame(data + [(x[0] + 1000, *x[1:]) for x in data[::3]] + [(x[0] + 2000, *x[1:]) for x in data[::6]], LINKED).cache()
+    moves = spark.createDataFrame([("a", "a", least), ("a", "b", 1.0)], "from_group string, to_group string, score double")
+    want = linkage.accepted(linkage.scored(linkage.capped_candidates(df), moves, names))
+    for large in (400, 3):
+        monkeypatch.setattr(linkage, "LARGE", large)
+        for mode in ("first_seed", "greedy_cover"):
+            assert rows(linkage.link(df, moves, names, mode)) == rows(getattr(linkage, mode)(want))
+        seeds = df.where("id % 4 = 0")
+        assert rows(linkage.link(df, moves, names, seeds=seeds)) == rows(linkage.first_seed(linkage.accepted(linkage.scored(linkage.capped_candidates(df, seeds), moves, names))))
+
+
+def test_records_alike_are_linked_as_one(spark):
+    """Thirty thousand records of one sort are 900 million pairs, but one edge."""
+    row = people(random.Random(8), 1)[0]
+    one = spark.createDataFrame([(0, "K", 1800.0, *row[3:])], LINKED).drop("id")
+    df = spark.range(30_000).crossJoin(one).withColumn("uniqueness_score", F.lit(1.0))
+    moves = spark.createDataFrame([("a", "b", 1.0)], "from_group string, to_group string, score double")
+    for mode in ("first_seed", "greedy_cover"):
+        got = linkage.link(df, moves, ["nafn"], mode)
+        assert got.agg(F.count("*"), F.max("id_individual")).first()[:] == (30_000, 0)
