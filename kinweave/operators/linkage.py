@@ -204,9 +204,12 @@ def near_edges(records: DataFrame, transitions: DataFrame, names: Sequence[str],
     # A seed may enter a large block of years before or after its own.
     values = right.where("hot").select(text.alias("v")).unionByName(left.where("hot").select(text.alias("v")))
     close = small_side(scratch.keep(close_values(values, caps[by])))
+    # A seed goes to those of its close values that the block has.
+    met = left.where("hot").select("block", text.alias("a")).distinct().join(close, "a")
+    met = scratch.keep(met.join(right.where("hot").select("block", text.alias("b")).distinct(), ["block", "b"]))
     packed = lambda df, side, key: df.select(key.alias("key"), "level", F.struct(*used).alias(side))
     cut = lambda c: F.xxhash64("block", c)
-    lefts = packed(left.where("hot is null"), "seed", F.col("block")).unionByName(packed(left.where("hot").withColumn("a", text).join(close, "a"), "seed", cut("b")))
+    lefts = packed(left.where("hot is null"), "seed", F.col("block")).unionByName(packed(left.where("hot").withColumn("a", text).join(met, ["block", "a"]), "seed", cut("b")))
     rights = packed(right, "match", F.when(F.col("hot"), cut(text)).otherwise(F.col("block")))
     # Hashes only bring rows together: all that they stand for is compared.
     alike = F.col(f"seed.{same}") == F.col(f"match.{same}")
