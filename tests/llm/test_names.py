@@ -187,3 +187,21 @@ def test_names_of_fields_and_namesakes_of_one_census(spark, rows):
     # Of two namesakes born in one year the one without a slip is found, and neither is left out.
     other = [(5, 1850, "Etdkell Bárríksson", None, None, 1790.0, "Karl", 6, None)]
     assert rows(name_variants(first.where("id = 3").unionByName(spark.createDataFrame(other, named)), called(spark))) == [(3, 5)]
+
+
+def test_common_names_far_away_are_no_evidence(spark):
+    """A namesake of a common name at another small place is somebody else as likely as not; one of a rare name isn't."""
+    common = [(k, 1860, "Jón Jónsson", 1701.0 + k, "Karl", 1000 + k, None, "c") for k in range(100)]
+    others = [(500 + k, 1860, f"{g} {s}sson", 1801.0 + k % 40, "Karl", 3000 + k, None, "c") for k, (g, s) in enumerate((g, s) for g in ("Rafviður", "Kolbergur", "Eldkell") for s in ("Úðstein", "Bárrík", "Lyngþór"))]
+    one = common + others + [(900, 1860, "Tindmar Ögleifsson", 1842.0, "Karl", 5000, None, "c")]
+    two = [(9000, 1870, "Jón Jónsson", 1750.0, "Karl", 6000, None, "c"), (9001, 1870, "Tindmar Ögleifsson", 1842.0, "Karl", 6001, None, "c")]
+    p = {(x["id_census"], x["id_second"]): x["p"] for x in link_tables(spark.createDataFrame(one, ROW), spark.createDataFrame(two, ROW), called(spark)).collect()}
+    assert p.get((49, 9000), 0.0) < 0.5 <= p[(900, 9001)]
+
+
+def test_rows_of_one_person_at_a_place_go_together(spark):
+    """A record without year or with a slip, beside a dated one of a person at its new place, is linked with it."""
+    one = [(1, 1860, "Tindmar Ögleifsson", 1842.0, "Karl", 5000, None, "c"), (2, 1855, "Tindmarr Ögleifsson", None, "Karl", 5000, None, "c"), (3, 1860, "Kolbergur Bárriksson", 1820.0, "Karl", 5001, None, "c")]
+    two = [(9001, 1870, "Tindmar Ögleifsson", 1842.0, "Karl", 6001, None, "c"), (9002, 1880, "Tindmar Ögleifsson", None, "Karl", 6001, None, "c"), (9003, 1890, "Tindmar Øgleifsson", 1844.0, "Karl", 6001, None, "c")]
+    got = {(x["id_census"], x["id_second"]) for x in link_tables(spark.createDataFrame(one, ROW), spark.createDataFrame(two, ROW), called(spark)).collect() if x["p"] >= 0.5}
+    assert got == {(a, b) for a in (1, 2) for b in (9001, 9002, 9003)}
