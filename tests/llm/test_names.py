@@ -205,3 +205,32 @@ def test_rows_of_one_person_at_a_place_go_together(spark):
     two = [(9001, 1870, "Tindmar Ögleifsson", 1842.0, "Karl", 6001, None, "c"), (9002, 1880, "Tindmar Ögleifsson", None, "Karl", 6001, None, "c"), (9003, 1890, "Tindmar Øgleifsson", 1844.0, "Karl", 6001, None, "c")]
     got = {(x["id_census"], x["id_second"]) for x in link_tables(spark.createDataFrame(one, ROW), spark.createDataFrame(two, ROW), called(spark)).collect() if x["p"] >= 0.5}
     assert got == {(a, b) for a in (1, 2) for b in (9001, 9002, 9003)}
+
+
+def test_movers_within_a_parish(spark, rows):
+    """A cut or split name, another last name or a missing year is found at another place of the parish, not of another one."""
+    people = [("Lyngvaldur Hraunsteinsson", "L. Hraunsteinsson", 1820.0), ("Mosmar Fannleifsson", "Mo smar Fannleifsson", 1830.0), ("Fannfastur Úðríksson", "Fannfastur Úðríksson", None), ("Þytfastur Mýrbergsson", "Þytfastur Skerbech", 1855.0)]
+    one = [(k, 1860, name, y or 1840.0, "Karl", 100 + k, None, "c") for k, (name, _, y) in enumerate(people)]
+    two = [(9000 + k, 1870, name, y, "Karl", 200 + k, None, "c") for k, (_, name, y) in enumerate(people)]
+    near, far = ([(place, 7 if place < 150 or same else 8) for place in (*range(100, 104), *range(200, 204))] for same in (True, False))
+    df = spark.createDataFrame(one, ROW), spark.createDataFrame(two, ROW), called(spark)
+    found = [link_tables(*df, spark.createDataFrame(x, "bi_baer long, bi_sokn long")).where("p >= 0.5").select("id_census", "id_second") for x in (near, far)]
+    assert rows(found[0]) == [(k, 9000 + k) for k in range(4)] and not set(rows(found[1])) & {(0, 9000), (2, 9002), (3, 9003)}
+
+
+def test_namesakes_of_a_parish_take_nothing_at_a_place(spark):
+    """The persons who count against a pair are those of its place, of its parish, or all."""
+    one = [(k, 1860, "Tindmar Ögleifsson", 1842.0, "Karl", 5000 + k, None, "c") for k in range(4)]
+    two = [(9000, 1870, "Tindmar Ögleifsson", 1842.0, "Karl", 5000, None, "c")]
+    at = [[(5000 + k, parish) for k, parish in enumerate(x)] for x in ((1, 1, 1, 1), (1, 2, 2, 2))]
+    p = [{x["id_census"]: x["p"] for x in link_tables(spark.createDataFrame(one, ROW), spark.createDataFrame(two, ROW), called(spark), spark.createDataFrame(x, "bi_baer long, bi_sokn long")).collect()} for x in at]
+    assert p[0][0] > 0.9 and p[1][0] > 0.9 and all(x.get(k, 0.0) < 0.5 for x in p for k in (1, 2, 3))
+
+
+def test_strangers_of_a_range_of_years(spark):
+    """Who is not found near by has moved, where nearly all born in such years are found, and is a stranger where few are."""
+    from kinweave.llm.crosslink import _elsewhere
+
+    got = _elsewhere({360: 780, 370: 300}, {360: 100, 370: 100}, {360: 1000, 370: 1000, 380: 500})
+    assert got[360] > 0.3 and got[370] < -0.3 and abs(got[360] + got[370]) < 1e-9 and 380 not in got
+    assert _elsewhere({}, {}, {0: 5}) == {}
