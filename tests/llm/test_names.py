@@ -234,3 +234,13 @@ def test_strangers_of_a_range_of_years(spark):
     got = _elsewhere({360: 780, 370: 300}, {360: 100, 370: 100}, {360: 1000, 370: 1000, 380: 500})
     assert got[360] > 0.3 and got[370] < -0.3 and abs(got[360] + got[370]) < 1e-9 and 380 not in got
     assert _elsewhere({}, {}, {0: 5}) == {}
+
+
+def test_variants_within_a_parish(spark, rows):
+    """Namesakes of other parishes, however many, take nothing from two spellings in one parish, nor do a cut name and a missing year."""
+    pairs = [("Skelbót Brimríksdóttir", "Skelbot Brimriksdotter", 1820.0), ("Mosdís Fannleifsdóttir", "M. Fannleifsd.", 1830.0), ("Hrímveig Úðríksdóttir", "Hrímveig Úðriksdóttir", None)]
+    data = [(10 * k + c, year, name, 1830.0 if not born and not c else born, "Kona", 100 + 10 * k + c, None, "c") for k, (one, two, born) in enumerate(pairs) for c, (year, name) in enumerate(((1840, one), (1845, two)))]
+    data += [(1000 + k, 1835, "Skelbót Brimríksdóttir", 1820.0 + k % 3, "Kona", 1000 + k, None, "c") for k in range(60)]
+    places = [(100 + 10 * k + c, 7 + k) for k in range(3) for c in range(2)] + [(1000 + k, 100 + k) for k in range(60)]
+    df = spark.createDataFrame(data, ROW), called(spark), spark.createDataFrame(places, "bi_baer long, bi_sokn long")
+    assert rows(name_variants(*df)) == [(0, 1), (10, 11), (20, 21)]
