@@ -236,6 +236,25 @@ def test_strangers_of_a_range_of_years(spark):
     assert _elsewhere({}, {}, {0: 5}) == {}
 
 
+def test_nobody_is_in_two_places_in_turn(spark):
+    """Who is found at the old place in 1880 was not elsewhere in 1870, but may be in 1890; and who is found near by in 1850 may have come from elsewhere."""
+    one = [(1, 1860, "Tindmar Ögleifsson", 1842.0, "Karl", 5000, None, "c"), (2, 1840, "Rafviður Úðsteinsson", 1821.0, "Karl", 5001, None, "c"), (3, 1850, "Rafviður Úðsteinsson", 1821.0, "Karl", 5002, None, "c")]
+    one += [(100 + k, 1835 + 5 * (k % 6), f"{g} {s}sson", 1820.0 + k, "Karl", 7000 + k, None, "c") for k, (g, s) in enumerate((g, s) for g in ("Kolbergur", "Eldkell", "Mosmar", "Lyngvaldur", "Fannfastur") for s in ("Bárrík", "Lyngþór", "Hraunstein", "Fannleif", "Mýrberg"))]
+    two = [(9000, 1880, "Tindmar Ögleifsson", 1842.0, "Karl", 5000, None, "c"), (9001, 1870, "Tindmar Ögleifsson", 1842.0, "Karl", 6001, None, "c"), (9002, 1890, "Tindmar Ögleifsson", 1842.0, "Karl", 6002, None, "c"), (9003, 1870, "Rafviður Úðsteinsson", 1821.0, "Karl", 5002, None, "c")]
+    p = {(x["id_census"], x["id_second"]): x["p"] for x in link_tables(spark.createDataFrame(one, ROW), spark.createDataFrame(two, ROW), called(spark)).collect()}
+    assert p[1, 9000] > 0.9 and p[1, 9002] >= 0.5 and p[3, 9003] > 0.9 and p[2, 9003] >= 0.5 and p.get((1, 9001), 0.0) < 0.5
+
+
+def test_rare_names_tell_who_moved():
+    """The share of persons of rare names who are found beyond the parish, less what chance gives, is that of all who are not found near by."""
+    from kinweave.llm.crosslink import _beyond
+
+    few, many = ({"all": 1000, "found": 500, "open": 300, "rare": 400, "open_rare": 200, "hit": hit + 2, "open_hit": hit} for hit in (10, 120))
+    got = _beyond({360: few, 370: many}, {360: 1000, 370: 1000}, 1000.0)
+    assert got.open[370] - got.open[360] > 2.5 and got.again[370] < got.open[370] and got.unplaced[360] >= got.open[360]
+    assert _beyond({}, {}, 0.0) == ({}, {}, {}, {})
+
+
 def test_variants_within_a_parish(spark, rows):
     """Namesakes of other parishes, however many, take nothing from two spellings in one parish, nor do a cut name and a missing year."""
     pairs = [("Skelbót Brimríksdóttir", "Skelbot Brimriksdotter", 1820.0), ("Mosdís Fannleifsdóttir", "M. Fannleifsd.", 1830.0), ("Hrímveig Úðríksdóttir", "Hrímveig Úðriksdóttir", None)]
